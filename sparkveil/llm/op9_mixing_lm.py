@@ -1,15 +1,15 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
 A token (a word, or the end of a text) is spelled byte by byte, each byte as a path of binary decisions
-through a fixed prefix code. Every decision is predicted from five contexts - the last two, three
-and four bytes of the word, the whole word so far, and that with the class of the text (the last very
+through a fixed prefix code. Every decision is predicted from four contexts - the last three and
+four bytes of the word, the whole word so far, and that with the class of the text (the last very
 frequent word) - each hashed into a table of counts. A gate, chosen by how often the two longest
 contexts were seen, holds the weights that mix the stretched predictions, and a second table
 refines the result adaptively. Bits of probability add up to bits per byte.
 
 Counts are sums, so tasks count their documents on their own and a shuffle adds them up. While it
-counts, each task predicts its next stretch of text before it learns it and moves its weights
-online; the weights of all tasks are averaged. Every training document takes part. The tables'
+counts, each task predicts a quarter of each new stretch of text before it learns it and moves its
+weights online; the weights of all tasks are averaged. Every training document takes part. The tables'
 size is fixed, whatever the corpus.
 """
 
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_rows, durable, fold, mix64, table, to_signed, word_hashes, words_of, worker_cache
+from .common import arrow_rows, durable, fold, mix64, table, to_signed, worker_cache
 
-TABLE_BITS = 20
-CONTEXTS = 5
+TABLE_BITS = (20, 20, 22, 22)  # slots of each context's table, as a power of two
+CONTEXTS = 4
+LONG = 2  # from this context on, the gate looks at how it was seen
 CHUNK_BITS = 14
 HEAD = 1 << 18  # words whose counts go to every task; the others are joined
 CLASSES = 32  # very frequent words that name the class of a text
@@ -37,10 +37,11 @@ STATES = 6  # how often, and how evenly, a context was seen
 GATES = STATES * STATES
 BUCKETS = 33
 RATE = 0.06  # of the weights' moves, against the size of past ones
-STRETCH_WORDS = 250_000  # words that are predicted before they are learnt; a task begins with fewer
+STRETCH_WORDS = 1_000_000  # words that are predicted before they are learnt; a task begins with fewer
 FIRST_WORDS = 16_000
 PART = 12_000  # distinct words that are worked on at once
 SPACE, NEWLINE = 0x20, 0x0A
+END_HASH = np.uint64(0xA5A5A5A5DEADBEEF)
 #: Bytes from frequent to rare; the others follow in natural order.
 FREQUENT = b" enraitosldhucmgpbfvwkzjyxq,.-'\n\xc3\xa9\xa8\xb6\xbc\xa4\xb3\xad\xaa\xa7"
 
@@ -62,44 +63,74 @@ def prefix_code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Speller:
-    """Decisions and context slots of words."""
+    """Words of a text buffer, their hashes, and the decisions and context slots that spell them."""
 
     def __init__(self):
         self.start, self.length, self.node, self.bit = prefix_code()
-        seeds = mix64(np.arange(256 * 64, dtype=np.uint64) + np.uint64(99))
-        self.letters = seeds.reshape(64, 256)
-        self.nodes = mix64(np.arange(255, dtype=np.uint64) + np.uint64(12345)) | np.uint64(1)
+        self.letters = mix64(np.arange(256 * 64, dtype=np.uint64) + np.uint64(99))
+        self.nodes = (mix64(np.arange(255, dtype=np.uint64) + np.uint64(12345)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.path_salt = self.nodes[self.node]
         self.classes = mix64(np.arange(CLASSES + 1, dtype=np.uint64) + np.uint64(777))
-
-    def spell(self, words: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.space = np.zeros(256, dtype=bool)
+        self.space[[SPACE, *range(0x09, 0x0E)]] = True
+
+    def sums(self, flat: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, sum): each byte's place in its word, and the sum of place-dependent letter hashes before it."""
+        place = np.arange(len(flat)) - np.repeat(firsts, sizes)
+        each = self.letters[(place & 63) << 8 | flat] * ((place >> 6 << 1) + 1).astype(np.uint64)
+        total = np.cumsum(each, dtype=np.uint64)
+        before = total - each
+        return place, before - np.repeat(before[firsts], sizes)
+
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, start, size, hash, document) of all words of lower-cased texts; starts count in the bytes."""
+        flat = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
+        inside = ~self.space[flat]
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        size = end - start
+        packed = flat[inside]
+        firsts = np.cumsum(size) - size
+        if not len(start):
+            return flat, start, size, np.zeros(0, np.uint64), start
+        place = np.arange(len(packed)) - np.repeat(firsts, size)
+        each = self.letters[(place & 63) << 8 | packed] * ((place >> 6 << 1) + 1).astype(np.uint64)
+        hashes = mix64(np.add.reduceat(each, firsts) + size.astype(np.uint64))
+        return flat, start, size, hashes, np.searchsorted(ends, start, side="right")
+
+    def spell(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, bit, slots): for each decision the word's number, the turn, and its slot in each context's table.
 
-        The empty word is the end of a text; other words end with a space.
+        A word is the bytes at start and a space; size 0 is the end of a text and is spelled as a newline.
         """
-        flat = np.frombuffer(b"".join(w + b" " if w else b"\n" for w in words), dtype=np.uint8)
-        sizes = np.fromiter((len(w) + 1 for w in words), dtype=np.int64, count=len(words))
-        firsts = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(words)), sizes)
-        place = np.arange(len(flat)) - firsts[owner]
-        last = [np.full(len(flat), SPACE, dtype=np.uint64) for _ in range(4)]
+        whole = size + 1
+        firsts = np.cumsum(whole) - whole
+        at = np.repeat(start - firsts, whole) + np.arange(int(whole.sum()))
+        chars = flat[np.minimum(at, len(flat) - 1)]
+        chars[firsts + size] = np.where(size > 0, SPACE, NEWLINE)
+        place, prefix = self.sums(chars, firsts, whole)
+        last = np.zeros((4, len(chars)), dtype=np.uint32)
         for k in range(4):
-            last[k][k + 1 :] = np.where(place[k + 1 :] > k, flat[: len(flat) - k - 1], SPACE)
-        two = last[0] | last[1] << np.uint64(8)
-        three = two | last[2] << np.uint64(16)
-        sums = np.cumsum(self.letters[place & 63, flat], dtype=np.uint64)
-        before = np.concatenate((np.zeros(1, np.uint64), sums))[:-1]
-        prefix = before - before[firsts][owner] + place.astype(np.uint64)
-        contexts = [mix64(two + np.uint64(1 << 40)), mix64(three + np.uint64(2 << 40)), mix64((three | last[3] << np.uint64(24)) + np.uint64(3 << 40)), mix64(prefix), mix64(prefix ^ self.classes[classes][owner])]
-        steps = self.length[flat]
-        at = np.repeat(np.arange(len(flat)), steps)
+            last[k, k + 1 :] = np.where(place[k + 1 :] > k, chars[: len(chars) - k - 1], 0)
+        three = last[0] | last[1] << np.uint32(8) | last[2] << np.uint32(16)
+        four = three | last[3] << np.uint32(24)
+        prefix = mix64(prefix + place.astype(np.uint64))
+        contexts = [three * np.uint32(0x85EBCA6B) ^ np.uint32(0x1234567), four * np.uint32(0xC2B2AE35), prefix.astype(np.uint32), mix64(prefix ^ np.repeat(self.classes[classes], whole)).astype(np.uint32)]
+        steps = self.length[chars]
         ends = np.cumsum(steps)
-        inside = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - steps, steps)
-        path = self.start[flat][at] + inside
-        salt = self.nodes[self.node[path]]
-        slots = np.empty((CONTEXTS, len(at)), dtype=np.int32)
+        path = np.repeat(self.start[chars] - (ends - steps), steps) + np.arange(int(ends[-1]) if len(ends) else 0)
+        salt = self.path_salt[path]
+        slots = np.empty((CONTEXTS, len(path)), dtype=np.int32)
         for i, c in enumerate(contexts):
-            slots[i] = ((c[at] ^ salt) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
-        return owner[at], self.bit[path], slots
+            h = np.repeat(c, steps)
+            h ^= salt
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x9E3779B1)
+            h >>= np.uint32(32 - TABLE_BITS[i])
+            slots[i] = h.view(np.int32)
+        word = np.repeat(np.arange(len(start)), np.add.reduceat(steps, firsts)) if len(start) else np.zeros(0, np.int64)
+        return word, self.bit[path], slots
 
 
 def speller() -> Speller:
@@ -119,21 +150,21 @@ def state(counts: np.ndarray) -> np.ndarray:
 class Mixer:
     """Stretched predictions and states by slot, weights by gate, and the refining table."""
 
-    def __init__(self, stretch: np.ndarray, seen: np.ndarray, weights: np.ndarray, refine: np.ndarray):
+    def __init__(self, stretch: list[np.ndarray], seen: list[np.ndarray], weights: np.ndarray, refine: np.ndarray):
         self.stretch, self.seen, self.weights, self.refine = stretch, seen, weights, refine
 
     def inputs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.empty((CONTEXTS + 1, slots.shape[1]), dtype=np.float32)
         for i in range(CONTEXTS):
-            np.take(self.stretch[i], slots[i], out=x[i])
+            x[i] = self.stretch[i][slots[i]]
         x[CONTEXTS] = 0.3
-        return x, self.seen[0][slots[3]] * STATES + self.seen[1][slots[4]]
+        return x, self.seen[0][slots[LONG]] * np.uint8(STATES) + self.seen[1][slots[LONG + 1]]
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        out = np.zeros(x.shape[1], dtype=np.float32)
-        for i in range(CONTEXTS + 1):
+        out = self.weights[:, CONTEXTS][gate] * x[CONTEXTS]
+        for i in range(CONTEXTS):
             out += self.weights[:, i][gate] * x[i]
-        return np.clip(out, -12, 12)
+        return np.clip(out, -12, 12, out=out)
 
     def bucket(self, gate: np.ndarray, mixed: np.ndarray) -> np.ndarray:
         return gate.astype(np.int32) * BUCKETS + np.rint((np.clip(mixed, -8, 8) + 8) * ((BUCKETS - 1) / 16)).astype(np.int32)
@@ -167,21 +198,20 @@ class Learner:
     """Counts, weights and refinement of one task."""
 
     def __init__(self):
-        self.counts = np.zeros((CONTEXTS, 2, 1 << TABLE_BITS), dtype=np.float32)
+        self.counts = [np.zeros((2, 1 << b), dtype=np.float32) for b in TABLE_BITS]
         self.weights, self.refine, self.mass = start_weights(), start_refine(), 0.0
         self.squares = np.zeros_like(self.weights)
 
-    def learn(self, words: list[bytes], classes: np.ndarray, times: np.ndarray) -> None:
-        """One stretch of text as distinct (word, class) pairs with their numbers: predict, move, then count."""
-        spell = speller().spell
-        model = None
+    def learn(self, s: Stretch) -> None:
+        """One stretch of text: predict every fourth part and move the weights, then count all of it."""
+        spell, model = speller().spell, None
         if self.mass:
-            seen = np.stack([state(self.counts[i]) for i in (3, 4)])
-            model = Mixer(np.stack([stretched(c) for c in self.counts]), seen, self.weights, None)
-        for i in range(0, len(words), PART // 3):
-            owner, bit, slots = spell(words[i : i + PART // 3], classes[i : i + PART // 3])
-            m = times[i : i + PART // 3][owner].astype(np.float32)
-            if model is not None:
+            self.weights = self.weights.astype(np.float32)
+            model = Mixer([stretched(c) for c in self.counts], [state(c) for c in self.counts[LONG:]], self.weights, None)
+        for number, i in enumerate(range(0, len(s.start), PART)):
+            word, bit, slots = spell(s.flat, s.start[i : i + PART], s.size[i : i + PART], s.classes[i : i + PART])
+            m = s.times[i : i + PART].astype(np.float32)[word]
+            if model is not None and (number % 4 == 0 or len(s.start) < 8 * PART):
                 x, gate = model.inputs(slots)
                 mixed = model.mix(x, gate)
                 b = model.bucket(gate, mixed)
@@ -191,97 +221,109 @@ class Learner:
                 mass = np.bincount(gate, weights=m, minlength=GATES)
                 pull = np.stack([np.bincount(gate, weights=wrong * x[k], minlength=GATES) for k in range(CONTEXTS + 1)], axis=1) / (mass + 50)[:, None]
                 self.squares += pull * pull
-                self.weights += RATE * pull / np.sqrt(self.squares + 1e-6)
+                self.weights += (RATE * pull / np.sqrt(self.squares + 1e-6)).astype(np.float32)
+            # Both turns of a slot lie beside each other.
+            turn = bit.astype(np.int32)
             for k in range(CONTEXTS):
-                for turn in (0, 1):
-                    chosen = bit == turn
-                    np.add.at(self.counts[k, turn], slots[k][chosen], m[chosen])
+                np.add.at(self.counts[k].reshape(-1), slots[k] + (turn << TABLE_BITS[k]), m)
             self.mass += float(m.sum())
 
 
-def classes_of(hashes: np.ndarray, firsts: np.ndarray, markers: np.ndarray) -> np.ndarray:
-    """For each token the number of the last marker word before it in its text, 0 for none."""
+def classes_of(hashes: np.ndarray, doc: np.ndarray, n: int, markers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each word, and of each text's end: the number of the last marker word before it in its text, or 0."""
+    if not len(hashes) or not len(markers):
+        return np.zeros(len(hashes), np.int64), np.zeros(n, np.int64)
     order = np.argsort(markers)
-    at = np.minimum(np.searchsorted(markers[order], hashes), max(0, len(markers) - 1))
-    is_marker = markers[order][at] == hashes if len(markers) else np.zeros(len(hashes), bool)
-    mark = np.where(is_marker, order[at] + 1 if len(markers) else 0, 0)
-    place = np.arange(len(hashes))
-    last = np.maximum.accumulate(np.where(is_marker, place, -1))
-    before = np.concatenate(([-1], last[:-1])) if len(last) else last
-    return np.where(before >= firsts, mark[np.maximum(before, 0)], 0)
+    at = np.minimum(np.searchsorted(markers[order], hashes), len(markers) - 1)
+    is_marker = markers[order][at] == hashes
+    mark = np.where(is_marker, order[at] + 1, 0)
+    last = np.maximum.accumulate(np.where(is_marker, np.arange(len(hashes)), -1))
+    firsts = np.searchsorted(doc, np.arange(n))
+    before = np.concatenate(([-1], last[:-1]))
+    ends = np.concatenate((firsts[1:], [len(hashes)])) - 1
+    final = np.where(ends >= firsts, last[np.maximum(ends, 0)], -1)
+    return np.where(before >= firsts[doc], mark[np.maximum(before, 0)], 0), np.where(final >= firsts, mark[np.maximum(final, 0)], 0)
 
 
 class Stretch:
-    """Tokens of some documents as distinct (word, class) pairs."""
-
-    def __init__(self, docs: list[list[bytes]], cache: WordHashes, markers: np.ndarray):
-        tokens = [w for d in docs for w in (*d, b"")]
-        self.sizes = np.array([len(d) + 1 for d in docs], dtype=np.int64)
-        firsts = np.cumsum(self.sizes) - self.sizes
-        self.hashes = word_hashes(tokens, cache)
-        classes = classes_of(self.hashes, np.repeat(firsts, self.sizes), markers)
-        names: dict[bytes, int] = {}
-        ids = np.fromiter((names.setdefault(w, len(names)) for w in tokens), dtype=np.int64, count=len(tokens))
-        pairs, self.pair, self.times = np.unique(ids * (CLASSES + 1) + classes, return_inverse=True, return_counts=True)
-        words = list(names)
-        self.words, self.classes = [words[i] for i in (pairs // (CLASSES + 1)).tolist()], pairs % (CLASSES + 1)
-        self.owner = np.repeat(np.arange(len(docs)), self.sizes)
+    """The tokens of some texts as distinct (word, class) pairs; a text's end is a token of size 0."""
+
+    def __init__(self, texts: list[bytes], markers: np.ndarray):
+        flat, start, size, hashes, doc = speller().words(texts)
+        n = len(texts)
+        self.flat = flat if len(flat) else np.zeros(1, np.uint8)
+        self.hashes, self.doc = hashes, doc
+        before, after = classes_of(hashes, doc, n, markers)
+        classes = np.concatenate([before, after])
+        names = np.concatenate([hashes, np.full(n, END_HASH)])
+        self.owner = np.concatenate([doc, np.arange(n)])
+        _, first, self.pair, self.times = np.unique(names + mix64(classes.astype(np.uint64) + np.uint64(31)), return_index=True, return_inverse=True, return_counts=True)
+        self.start, self.size = np.concatenate([start, np.zeros(n, np.int64)])[first], np.concatenate([size, np.zeros(n, np.int64)])[first]
+        self.classes = classes[first]
+        self.sizes = np.bincount(self.owner, minlength=n)
+
+
+def lowered(text: str | None) -> bytes:
+    return text.encode("utf-8", "replace").lower() if text else b""
 
 
 def stretches(batches: Iterator[pa.RecordBatch], *names: str, words: int = STRETCH_WORDS, first: int | None = None):
-    """Documents of the batches, a stretch at a time: the other columns' values, and the texts' words."""
-    others, docs, n, most = [], [], 0, first or words
+    """Texts of the batches, about `words` words at a time: the other columns' values, and the lower-cased bytes."""
+    others, docs, n, most = [], [], 0, 6 * (first or words)
     for rows in arrow_rows(batches, *names, "text"):
         for *other, text in zip(*rows, strict=True):
-            docs.append(words_of(text))
+            docs.append(lowered(text))
             others.append(other)
             n += len(docs[-1]) + 1
             if n >= most:
                 yield others, docs
-                others, docs, n, most = [], [], 0, min(words, 2 * most)
+                others, docs, n, most = [], [], 0, min(6 * words, 2 * most)
     if docs:
         yield others, docs
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    ends = 0
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        cache, words = WordHashes(), list(counts)
-        for i in range(0, len(words), 200_000):
-            part = words[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(to_signed(word_hashes(part, cache))), pa.array([counts[w] for w in part], pa.int64()), pa.array([False] * len(part))], names=["h", "c", "is_end"])
-        counts.clear()
-
-    for (texts,) in arrow_rows(batches, "text"):
-        for text in texts:
-            counts.update(words_of(text))
-            ends += 1
-        if len(counts) > 1_000_000:
-            yield from rows()
-    yield from rows()
+    hashes, counts, ends = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(to_signed(hashes)), pa.array(counts), pa.array(np.zeros(len(hashes), bool))], names=["h", "c", "is_end"])
+
+    for _, docs in stretches(batches):
+        h, c = np.unique(speller().words(docs)[3], return_counts=True)
+        both, at = np.unique(np.concatenate([hashes, h]), return_inverse=True)
+        hashes, counts, ends = both, np.bincount(at, weights=np.concatenate([counts, c]), minlength=len(both)).astype(np.int64), ends + len(docs)
+        if len(hashes) > 3_000_000:
+            yield rows()
+            hashes, counts = hashes[:0], counts[:0]
+    yield rows()
     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([ends], pa.int64()), pa.array([True])], names=["h", "c", "is_end"])
 
 
 MODEL_SCHEMA = "chunk int, body binary"
 
 
+def planes(counts: np.ndarray) -> bytes:
+    """Counts as unsigned 32-bit numbers, compressed with equal bytes of all beside each other."""
+    return zlib.compress(np.ascontiguousarray(np.rint(counts).astype("<u4").reshape(-1, 1).view(np.uint8).T).tobytes(), 1)
+
+
+def unplanes(body: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _learn(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        markers = shared.value["markers"]
-        cache, learner = worker_cache().setdefault("words", WordHashes()), Learner()
+        learner = Learner()
         for _, docs in stretches(batches, first=FIRST_WORDS):
-            s = Stretch(docs, cache, markers)
-            learner.learn(s.words, s.classes, s.times)
+            learner.learn(Stretch(docs, shared.value["markers"]))
         if learner.mass:
             chunks, bodies = [], []
             for k in range(CONTEXTS):
-                for i in range(0, 1 << TABLE_BITS, 1 << CHUNK_BITS):
-                    part = learner.counts[k, :, i : i + (1 << CHUNK_BITS)]
+                for i in range(0, 1 << TABLE_BITS[k], 1 << CHUNK_BITS):
+                    part = learner.counts[k][:, i : i + (1 << CHUNK_BITS)]
                     if part.any():
-                        chunks.append((k << (TABLE_BITS - CHUNK_BITS)) + (i >> CHUNK_BITS))
-                        bodies.append(zlib.compress(part.astype("<f4").tobytes(), 1))
+                        chunks.append(k << 16 | i >> CHUNK_BITS)
+                        bodies.append(planes(part))
             chunks.append(-1)
             bodies.append(zlib.compress(np.concatenate([[learner.mass], (learner.weights * learner.mass).ravel(), (learner.refine - start_refine()).ravel()]).astype("<f8").tobytes(), 1))
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(bodies, pa.binary())], names=["chunk", "body"])
@@ -303,7 +345,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for chunks, bodies in arrow_rows(batches, "chunk", "body"):
         for c, body in zip(chunks, bodies, strict=True):
-            part = np.frombuffer(zlib.decompress(body), dtype="<f8" if c < 0 else "<f4").astype(np.float64)
+            part = np.frombuffer(zlib.decompress(body), dtype="<f8").copy() if c < 0 else unplanes(body).astype(np.float64)
             if c != chunk:
                 if chunk is not None:
                     yield done()
@@ -317,7 +359,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def assemble(rows: list[tuple[int, bytes]]) -> Mixer:
     """The model from the summed chunks; without any it predicts every turn alike."""
     n = 1 << CHUNK_BITS
-    stretch, seen = np.zeros((CONTEXTS, 1 << TABLE_BITS), dtype=np.float32), np.zeros((2, 1 << TABLE_BITS), dtype=np.uint8)
+    stretch, seen = [np.zeros(1 << b, dtype=np.float32) for b in TABLE_BITS], [np.zeros(1 << b, dtype=np.uint8) for b in TABLE_BITS[LONG:]]
     weights, refine = start_weights(), start_refine()
     for chunk, body in rows:
         if chunk < 0:
@@ -325,10 +367,10 @@ def assemble(rows: list[tuple[int, bytes]]) -> Mixer:
             weights = v[1 : 1 + weights.size].reshape(weights.shape) / v[0]
             refine = refine + v[1 + weights.size :].reshape(refine.shape)
         else:
-            k, i = chunk >> (TABLE_BITS - CHUNK_BITS), (chunk & ((1 << (TABLE_BITS - CHUNK_BITS)) - 1)) << CHUNK_BITS
-            stretch[k, i : i + n] = np.frombuffer(body[: 2 * n], dtype="<f2")
-            if k >= 3:
-                seen[k - 3, i : i + n] = np.frombuffer(body[2 * n :], dtype=np.uint8)
+            k, i = chunk >> 16, (chunk & 0xFFFF) << CHUNK_BITS
+            stretch[k][i : i + n] = np.frombuffer(body[: 2 * n], dtype="<f2")
+            if k >= LONG:
+                seen[k - LONG][i : i + n] = np.frombuffer(body[2 * n :], dtype=np.uint8)
     return Mixer(stretch, seen, weights.astype(np.float32), (refine[0] / refine[1]).astype(np.float32))
 
 
@@ -338,35 +380,30 @@ ROW = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_k
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        cache, spell, model = worker_cache().setdefault("words", WordHashes()), speller().spell, v["model"]
+        spell, model = speller().spell, v["model"]
         row = TaskContext.get().partitionId() << 33
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32()]
         names = [f.split()[0] for f in ROW.split(", ")]
-        for others, docs in stretches(batches, "doc_id", "held_out", words=4 * STRETCH_WORDS):
-            s = Stretch(docs, cache, v["markers"])
-            chance = np.zeros(len(s.words))
-            for i in range(0, len(s.words), PART):
-                owner, bit, slots = spell(s.words[i : i + PART], s.classes[i : i + PART])
+        for others, docs in stretches(batches, "doc_id", "held_out", words=2 * STRETCH_WORDS):
+            s, n = Stretch(docs, v["markers"]), len(docs)
+            chance = np.zeros(len(s.start))
+            for i in range(0, len(chance), PART):
+                word, bit, slots = spell(s.flat, s.start[i : i + PART], s.size[i : i + PART], s.classes[i : i + PART])
                 x, gate = model.inputs(slots)
-                chance[i : i + PART] = np.bincount(owner, weights=model.log10_chance(x, gate, bit), minlength=min(PART, len(s.words) - i))
-            n = len(docs)
+                chance[i : i + PART] = np.bincount(word, weights=model.log10_chance(x, gate, bit), minlength=min(PART, len(chance) - i))
             score = np.bincount(s.owner, weights=chance[s.pair], minlength=n)
-            end = np.cumsum(s.sizes) - 1
             at = np.minimum(np.searchsorted(v["head"], s.hashes), max(0, len(v["head"]) - 1))
             known = v["head"][at] == s.hashes if len(v["head"]) else np.zeros(len(s.hashes), bool)
             c = np.where(known, v["head_counts"][at] if len(v["head"]) else 0, 0).astype(np.float64)
-            known[end], c[end] = v["ends"] > 0, v["ends"]
-            logs = np.bincount(s.owner, weights=np.where(known, np.log10(c + 0.5), 0), minlength=n)
-            logs[:] += 0 if v["ends"] else np.log10(0.5)
-            n_known = np.bincount(s.owner, weights=known, minlength=n).astype(np.int64)
-            size = [sum(map(len, d)) + len(d) for d in docs]
+            logs = np.bincount(s.doc, weights=np.where(known, np.log10(c + 0.5), 0), minlength=n) + np.log10(v["ends"] + 0.5)
+            n_known = np.bincount(s.doc, weights=known, minlength=n).astype(np.int64) + (v["ends"] > 0)
+            size = np.bincount(s.owner, weights=(s.size + 1)[s.pair], minlength=n).astype(np.int64)
             none = lambda k: [None] * k
             cols = [np.arange(row, row + n), [o[0] for o in others], [o[1] for o in others], s.sizes, size, n_known, logs, score, none(n), none(n)]
             yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(cols, kinds, strict=True)], names=names)
             rest = ~known
-            rest[end] = False
             if rest.any():
-                pairs = np.stack([s.owner[rest].astype(np.uint64), s.hashes[rest]])
+                pairs = np.stack([s.doc[rest].astype(np.uint64), s.hashes[rest]])
                 order = np.lexsort(pairs[::-1])
                 pairs = pairs[:, order]
                 new = np.concatenate(([True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)))
