@@ -2,5 +2,388 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sparkveil.functions import text as X
+from sparkveil.functions.rules import ALIASES, PATTERNS, POLICIES, THRESHOLDS, TYPES
+from sparkveil.operators import detect as D
+from sparkveil.operators import layout as L
+from sparkveil.streaming import stateful as S
+
+from .sqlparts import spans_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def keep(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+# Detection patterns P1-P18: one query each, and all in one scan.
+NAMES = ("names", r"\b([A-Z][a-z]+\s[A-Z][a-z]+)\b", False)
+SPAN = "phi_type, start, \"end\", text"
+
+
+def _one_pattern(rule: tuple[str, str, bool]) -> None:
+    source, key, text = ("pages", "page_id", "html") if rule[0] == "urls" else ("documents", "doc_id", "text")
+    sql = f"WITH {spans_sql(source, key, text, [rule])} SELECT {key}, {SPAN} FROM f"
+    query(sql, f"spans_{rule[0]}")(lambda spark, d: D.detect(table(spark, d, source), key, text, [rule]).select(key, "phi_type", "start", "end", "text"))
+
+
+for _rule in [*PATTERNS, NAMES]:
+    _one_pattern(_rule)
+
+FOUND = spans_sql("documents", "doc_id", "text")
+THRESHOLD_SQL = "CASE phi_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in THRESHOLDS.items()) + " ELSE 0.2 END"
+NEAR = lambda *w: "(" + " OR ".join(f"contains(lower(c), '{x}')" for x in w) + ")"
+SCORED = f"""{FOUND}, c AS (
+  SELECT *, substr(w, greatest(0, start - 30) + 1, "end" + 30 - greatest(0, start - 30)) AS c FROM f
+), x AS (
+  SELECT *, least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN {NEAR('patient', 'mrn', 'dob', 'ssn')} THEN 0.3::DOUBLE ELSE 0 END
+    + CASE WHEN phi_type = 'names' AND {NEAR('dr.', 'nurse', 'physician', 'md')} THEN 0.2::DOUBLE ELSE 0 END) AS context_score FROM c
+), y AS (
+  SELECT *, least(1.0::DOUBLE, 0.7::DOUBLE * least(1.0::DOUBLE, 0.7::DOUBLE * 0.6::DOUBLE + least(0.3::DOUBLE, length(text) / 100.0::DOUBLE) + 0.2::DOUBLE * context_score) + 0.3::DOUBLE * context_score) AS confidence FROM x
+)"""
+
+
+@query(f"WITH {SCORED} SELECT doc_id, {SPAN}, round(context_score, 6) AS context_score, round(confidence, 6) AS confidence, confidence >= {THRESHOLD_SQL} AS kept FROM y")
+def scored_spans(spark, d):
+    """Context score, combined confidence, per-type threshold."""
+    s = D.score(D.detect(docs(spark, d)))
+    return s.select("doc_id", "phi_type", "start", "end", "text", F.round("context_score", 6).alias("context_score"), F.round("confidence", 6).alias("confidence"), "kept")
+
+
+@query(f"WITH {SCORED} SELECT doc_id, phi_type, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM y GROUP BY ALL")
+def type_counts(spark, d):
+    """G1: detections and mean confidence of each document and type."""
+    return D.score(D.detect(docs(spark, d))).groupBy("doc_id", "phi_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+
+
+@query(f"""WITH {FOUND} SELECT d.doc_id, count(f.doc_id) AS n, count(DISTINCT phi_type) AS n_types,
+CASE WHEN bool_or(phi_type IN ('social_security_numbers', 'medical_record_numbers')) THEN 'high' WHEN count(f.doc_id) > 0 THEN 'medium' ELSE 'low' END AS risk
+FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""")
+def document_risk(spark, d):
+    """Detections, distinct types and risk of every document."""
+    found = D.detect(docs(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("phi_type").alias("n_types"), F.bool_or(F.col("phi_type").isin("social_security_numbers", "medical_record_numbers")).alias("high"))
+    n = F.coalesce("n", F.lit(0))
+    return docs(spark, d).select("doc_id").join(found, "doc_id", "left").select("doc_id", n.alias("n"), F.coalesce("n_types", F.lit(0)).alias("n_types"), F.when(F.col("high"), "high").when(n > 0, "medium").otherwise("low").alias("risk"))
+
+
+@query(f"WITH {FOUND}, y AS (SELECT unnest({TYPES!r}) AS phi_type) SELECT y.phi_type, count(f.phi_type) > 0 AS covered, count(f.phi_type) AS n FROM y LEFT JOIN f USING (phi_type) GROUP BY y.phi_type")
+def type_coverage(spark, d):
+    """Which of the eighteen types the corpus shows."""
+    n = D.detect(docs(spark, d)).groupBy("phi_type").agg(F.count(F.lit(1)).alias("n"))
+    types = spark.createDataFrame([(t,) for t in TYPES], "phi_type string")
+    return types.join(F.broadcast(n), "phi_type", "left").select("phi_type", (F.coalesce("n", F.lit(0)) > 0).alias("covered"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query()
+def merged_spans(spark, d):
+    """Greedy overlap merge."""
+    return D.merge(D.detect(docs(spark, d)))
+
+
+@query()
+def anonymized_documents(spark, d):
+    """Flagship: detect, merge, policy, mask or replace, rebuild."""
+    return D.anonymise(docs(spark, d), D.detect(docs(spark, d)))
+
+
+ENTITY_SQL = "CASE phi_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items()) + " ELSE upper(phi_type) END"
+POLICY_SQL = "p AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{t}', '{o}', '{p.get('masking_char', '')}', {p.get('chars_to_mask', 0)}, {p.get('from_end', 'false')}, '{p.get('new_value', '')}')" for e, t, o, p in POLICIES) + ") v(entity, tier, operator, ch, n, from_end, new_value))"
+#: Digits masked one by one: those whose number from the masked side is at most n.
+MASK_SQL = """CASE WHEN operator IS NULL THEN '[REDACTED_' || entity || ']' WHEN operator = 'replace' THEN new_value
+WHEN NOT regexp_matches(text, '[0-9]') THEN repeat(ch, least(length(text), n)) || substr(text, n + 1)
+ELSE array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN regexp_matches(text[i], '[0-9]')
+  AND (CASE WHEN from_end THEN length(regexp_replace(substr(text, i), '[^0-9]', '', 'g')) ELSE length(regexp_replace(substr(text, 1, i), '[^0-9]', '', 'g')) END) <= n THEN ch ELSE text[i] END), '') END"""
+
+
+@query(f"WITH {FOUND}, {POLICY_SQL}, e2 AS (SELECT *, {ENTITY_SQL} AS entity FROM f) SELECT doc_id, {SPAN}, e2.entity, coalesce(tier, 'none') AS tier, {MASK_SQL} AS replacement FROM e2 LEFT JOIN p ON e2.entity = p.entity".replace("'[REDACTED_' || entity", "'[REDACTED_' || e2.entity"))
+def span_replacements(spark, d):
+    """Policy of each detection and what replaces it."""
+    found = D.detect(docs(spark, d)).withColumn("entity", D.entity(F.col("phi_type")))
+    policy = F.broadcast(D.policy_table(spark).select("entity", "tier"))  # a row for each policy
+    return found.join(policy, "entity", "left").select("doc_id", "phi_type", "start", "end", "text", "entity", F.coalesce("tier", F.lit("none")).alias("tier"), X.apply_policy(F.col("entity"), F.col("text")).alias("replacement"))
+
+
+@query("SELECT conv_id, turn, role, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text FROM conversations")
+def normalised_turns(spark, d):
+    """White space collapsed, trimmed, lower case."""
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", X.normalised(F.col("text")).alias("text"))
+
+
+@query()
+def classified_turns(spark, d):
+    """Type and confidence of each turn by the first rule that finds something."""
+    c = F.split(X.classify(F.col("text")), r"\|")
+    return table(spark, d, "conversations").select("conv_id", "turn", c[0].alias("phi_type"), c[1].cast("double").alias("confidence"))
+
+
+EMAIL = [r for r in PATTERNS if r[0] == "email_addresses"]
+
+
+@query(f"WITH {spans_sql('documents', 'doc_id', 'text', EMAIL)} SELECT doc_id, start, substr(text, 1, 1) || '***@' || split_part(text, '@', 2) AS masked FROM f")
+def partial_emails(spark, d):
+    """First character and domain of each address."""
+    return D.detect(docs(spark, d), patterns=EMAIL).select("doc_id", "start", X.email_partial(F.col("text")).alias("masked"))
+
+
+WORDS = """w AS (
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS word_id, a[i] AS word FROM (SELECT doc_id, string_split(text, ' ') AS a FROM documents WHERE text IS NOT NULL), unnest(range(1, len(a) + 1)) u(i)
+), ws AS (
+  SELECT *, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start_char FROM w
+), wb AS (
+  SELECT doc_id, word_id, word, start_char, CAST(start_char + length(word) AS INTEGER) AS end_char, CAST(start_char % 80 * 8 AS INTEGER) AS x1, CAST(start_char // 80 * 12 AS INTEGER) AS y1,
+         CAST(start_char % 80 * 8 + length(word) * 8 AS INTEGER) AS x2, CAST(start_char // 80 * 12 + 10 AS INTEGER) AS y2 FROM ws
+)"""
+
+
+@query(f"WITH {WORDS} SELECT * FROM wb")
+def word_boxes(spark, d):
+    """Words with running offsets and boxes."""
+    return L.words(docs(spark, d).where("text is not null"))
+
+
+@query(f"""WITH {FOUND}, {WORDS}
+SELECT f.doc_id, phi_type, start, "end", min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(wb.doc_id) AS n_words
+FROM f LEFT JOIN wb ON f.doc_id = wb.doc_id AND f.start < wb.end_char AND wb.start_char < f."end" GROUP BY ALL""")
+def span_boxes(spark, d):
+    """Union box of the words that a span overlaps."""
+    return L.span_boxes(D.detect(docs(spark, d)), L.words(docs(spark, d).where("text is not null")))
+
+
+REGIONS = f"""{WORDS}, r AS (
+  SELECT doc_id, word_id // 3 AS region_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(((doc_id * 31 + word_id // 3 * 17) % 100) / 100.0::DOUBLE, 2) AS confidence, string_agg(word, ' ' ORDER BY word_id) AS text
+  FROM wb WHERE word_id < 60 GROUP BY doc_id, word_id // 3
+)"""
+
+
+def regions(spark, d):
+    """Three words to a region, the first twenty of each page; confidences by a fixed rule."""
+    w = L.words(docs(spark, d).where("text is not null")).where("word_id < 60").withColumn("region_id", F.floor(F.col("word_id") / 3).cast("int"))
+    r = w.groupBy("doc_id", "region_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "word"))), lambda s: s["word"]), " ").alias("text"))
+    return r.withColumn("confidence", F.round(((F.col("doc_id") * 31 + F.col("region_id") * 17) % 100) / 100.0, 2))
+
+
+@query(f"""WITH {REGIONS}, p AS (
+  SELECT a.doc_id, a.region_id AS a, b.region_id AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS inter,
+         least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) AS area
+  FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.region_id < b.region_id
+) SELECT doc_id, a, b, round(inter / area::DOUBLE, 6) AS overlap FROM p WHERE area > 0 AND inter > 0""")
+def region_overlaps(spark, d):
+    """Overlap of two regions as a share of the smaller one."""
+    return L.region_pairs(regions(spark, d), "doc_id").select("doc_id", F.col("a_region_id").cast("int").alias("a"), F.col("b_region_id").cast("int").alias("b"), F.round("overlap", 6).alias("overlap"))
+
+
+@query()
+def merged_regions(spark, d):
+    """Regions joined by overlap."""
+    return L.merge_regions(regions(spark, d).withColumn("low_confidence", F.col("confidence") < 0.5), "doc_id", 0.5)
+
+
+@query(f"""WITH {REGIONS}, u AS (
+  SELECT doc_id, region_id, confidence, least(0.99::DOUBLE, 0.5::DOUBLE + CASE WHEN length(trim(text)) <= 3 THEN 0.15::DOUBLE WHEN length(trim(text)) <= 6 THEN 0.08::DOUBLE ELSE 0 END) AS threshold_used FROM r
+), v AS (SELECT *, confidence >= threshold_used AS ok, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, region_id) AS best FROM u)
+SELECT doc_id, region_id, round(threshold_used, 6) AS threshold_used, ok OR (NOT bool_or(ok) OVER (PARTITION BY doc_id) AND best = 1) AS accepted FROM v""")
+def confidence_split(spark, d):
+    """Adaptive threshold; the best region where none reaches it."""
+    out = L.confidence_split(regions(spark, d).withColumnRenamed("region_id", "idx"), "doc_id")
+    return out.select("doc_id", F.col("idx").alias("region_id"), F.round("threshold_used", 6).alias("threshold_used"), "accepted")
+
+
+@query(f"WITH {REGIONS}, t AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold) SELECT threshold, count(*) FILTER (confidence >= threshold) AS accepted, count(*) AS n FROM r, t GROUP BY threshold")
+def threshold_buckets(spark, d):
+    """How many regions each of a few thresholds accepts."""
+    hit = lambda t: F.struct(F.lit(t).alias("threshold"), F.count_if(F.col("confidence") >= t).alias("accepted"), F.count(F.lit(1)).alias("n"))
+    return regions(spark, d).agg(F.array(*[hit(t) for t in (0.1, 0.3, 0.5, 0.7, 0.9)]).alias("a")).select(F.inline("a"))
+
+
+@query(f"WITH {REGIONS} SELECT doc_id, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, round(avg((x2 - x1) * (y2 - y1)), 6) AS avg_area, round(stddev_pop(confidence), 6) AS std_confidence FROM r GROUP BY doc_id")
+def region_statistics(spark, d):
+    """Count, mean confidence and area, population deviation."""
+    return regions(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.round(F.avg((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), 6).alias("avg_area"), F.round(F.stddev_pop("confidence"), 6).alias("std_confidence"))
+
+
+@query(f"WITH {REGIONS} SELECT doc_id, region_id, text, confidence FROM r WHERE confidence BETWEEN 0.4 AND 0.7")
+def review_queue(spark, d):
+    """the window of uncertainty."""
+    return regions(spark, d).where(F.col("confidence").between(0.4, 0.7)).select("doc_id", "region_id", "text", "confidence")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR || ':7'), doc_id LIMIT 50")
+def review_sample(spark, d):
+    """A seeded sample without replacement (the sampling operator's own limit)."""
+    return docs(spark, d).select("doc_id").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":7"))), "doc_id").limit(50)
+
+
+@query("SELECT doc_id, doc_id % 100 + 1 AS roll, doc_id % 100 + 1 <= 25 AS canary FROM documents")
+def canary_routing(spark, d):
+    """a fixed roll of 1 to 100."""
+    roll = F.col("doc_id") % 100 + 1
+    return docs(spark, d).select("doc_id", roll.alias("roll"), (roll <= 25).alias("canary"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS snippet FROM documents")
+def log_snippets(spark, d):
+    """F16: snippets for logs."""
+    return docs(spark, d).select("doc_id", X.truncated(F.col("text")).alias("snippet"))
+
+
+REDACT = "[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+|[0-9]{3}-[0-9]{2}-[0-9]{4}"
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '{REDACT}', '[REDACTED_PHI]', 'gi') AS message FROM documents")
+def redacted_log(spark, d):
+    """One expression over all patterns of a log formatter."""
+    return docs(spark, d).select("doc_id", F.regexp_replace("text", "(?i)" + REDACT, "[REDACTED_PHI]").alias("message"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AS has_number, contains(text, '/home/') OR contains(text, '/Users/') AS has_path FROM documents")
+def commit_scan(spark, d):
+    """number and path scans before a commit."""
+    return docs(spark, d).select("doc_id", F.col("text").rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}").alias("has_number"), (F.col("text").contains("/home/") | F.col("text").contains("/Users/")).alias("has_path"))
+
+
+@query("SELECT page_id, regexp_matches(lower(url), '[.](pdf|png|jpe?g|tiff)$') AS supported, CASE WHEN contains(lower(url), 'ct') THEN 'CT' WHEN contains(lower(url), 'mri') THEN 'MRI' ELSE 'other' END AS modality FROM pages")
+def page_kinds(spark, d):
+    """Supported names and image types by name."""
+    low = F.lower("url")
+    return table(spark, d, "pages").select("page_id", low.rlike("[.](pdf|png|jpe?g|tiff)$").alias("supported"), F.when(low.contains("ct"), "CT").when(low.contains("mri"), "MRI").otherwise("other").alias("modality"))
+
+
+VOCABULARY = ["the", "and", "patient", "dose", "de", "der", "la"]
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, round(len(list_intersect(w, {VOCABULARY!r})) / greatest(1, len(w))::DOUBLE, 6) AS relevance FROM t""")
+def vocabulary_relevance(spark, d):
+    """Share of distinct words that a vocabulary has."""
+    w = F.array_distinct(F.split(F.lower("text"), " ", -1))
+    return docs(spark, d).where("text is not null").select("doc_id", F.round(F.size(F.array_intersect(w, F.array(*map(F.lit, VOCABULARY)))) / F.greatest(F.lit(1), F.size(w)), 6).alias("relevance"))
+
+
+@query("SELECT event_type, count(*) AS total, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, round(sum(value) / greatest(1, count(*)), 4) AS avg_value FROM events GROUP BY event_type")
+def batch_summary(spark, d):
+    """Totals by outcome and the mean over all."""
+    e, bad = table(spark, d, "events"), F.col("event_type") == "error"
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(~bad).alias("succeeded"), F.count_if(bad).alias("failed"), F.round(F.sum("value") / F.greatest(F.lit(1), F.count(F.lit(1))), 4).alias("avg_value"))
+
+
+@query("SELECT event_type, CAST(least(9, floor(value / 25)) AS INTEGER) AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def latency_histogram(spark, d):
+    """Labelled histogram."""
+    return table(spark, d, "events").where("value is not null").groupBy("event_type", F.least(F.lit(9), F.floor(F.col("value") / 25)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 4) AS avg_value, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY 1")
+def windowed_metrics(spark, d):
+    """Hourly counts, errors, mean and exact 95th percentile (batch twin of the stream)."""
+    e = table(spark, d, "events")
+    return e.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.avg("value"), 4).alias("avg_value"), F.round(F.percentile("value", 0.95), 4).alias("p95"))
+
+
+@query("SELECT event_id, user_id, event_type, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events")
+def trailing_counts(spark, d):
+    """Requests of a principal and endpoint in the last minute."""
+    w = Window.partitionBy("user_id", "event_type").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-60_000_000, 0)
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", F.count(F.lit(1)).over(w).alias("recent"))
+
+
+@query()
+def rate_limit(spark, d):
+    """Sliding-window limiter in batch form, at most 3 accepted a day."""
+    return S.limit_requests(table(spark, d, "events").select("event_id", F.concat_ws(":", "user_id", "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts")), 3, 86400)
+
+
+@query()
+def circuit_breaker(spark, d):
+    """Which calls a breaker lets through, by user."""
+    e = table(spark, d, "events")
+    return S.break_circuits(e.select("event_id", F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed")), 3, 30)
+
+
+FEEDBACK = "SELECT o_orderstatus AS feedback_type, o_orderpriority AS pii_text, count(*) AS n, min(o_orderkey) AS first_idx FROM orders GROUP BY ALL"
+
+
+@query(f"WITH g AS ({FEEDBACK}) SELECT feedback_type, pii_text, n, CAST(row_number() OVER (PARTITION BY feedback_type ORDER BY n DESC, first_idx) AS INTEGER) AS rank FROM g QUALIFY rank <= 3")
+def feedback_summary(spark, d):
+    """The three most frequent of each kind, the first seen first among equals."""
+    g = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("feedback_type"), F.col("o_orderpriority").alias("pii_text")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_idx"))
+    rank = F.row_number().over(Window.partitionBy("feedback_type").orderBy(F.col("n").desc(), "first_idx"))
+    return g.withColumn("rank", rank).where("rank <= 3").select("feedback_type", "pii_text", "n", "rank")
+
+
+def _evaluation_sql() -> str:
+    rules = [r for r in PATTERNS if r[0] in ("health_plan_numbers", "vehicle_identifiers")]
+    return f"""WITH {spans_sql('documents', 'doc_id', 'text', rules)}, p AS (SELECT DISTINCT doc_id, start, "end" FROM f WHERE ord = 0), g AS (SELECT DISTINCT doc_id, start, "end" FROM f WHERE ord = 1),
+j AS (SELECT count(p.doc_id) FILTER (g.doc_id IS NOT NULL) AS tp, count(p.doc_id) FILTER (g.doc_id IS NULL) AS fp, count(*) FILTER (p.doc_id IS NULL) AS fn FROM p FULL JOIN g USING (doc_id, start, "end"))
+SELECT tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM j"""
+
+
+@query(_evaluation_sql())
+def evaluation(spark, d):
+    """Exact-span precision, recall and F1 of one detector against another."""
+    found = D.detect(docs(spark, d), patterns=[r for r in PATTERNS if r[0] in ("health_plan_numbers", "vehicle_identifiers")])
+    sides = [found.where(F.col("ord") == k).select("doc_id", "start", "end").distinct().withColumn(n, F.lit(1)) for k, n in ((0, "p"), (1, "g"))]
+    c = sides[0].join(sides[1], ["doc_id", "start", "end"], "full").agg(F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    share = lambda a, b, n: F.round(F.coalesce(F.try_divide(F.expr(a).cast("double"), F.expr(b)), F.lit(0.0)), 6).alias(n)
+    return c.select("tp", "fp", "fn", share("tp", "tp + fp", "precision"), share("tp", "tp + fn", "recall"), share("2 * tp", "2 * tp + fp + fn", "f1"))
+
+
+@query("""WITH m AS (SELECT event_type AS name, avg(value) FILTER (event_id % 2 = 0) AS baseline, avg(value) FILTER (event_id % 2 = 1) AS live FROM events GROUP BY 1)
+SELECT name, round((baseline - live) / baseline * 100, 4) AS drop_pct, CASE WHEN (baseline - live) / baseline * 100 > 10 THEN 'DRIFT_DETECTED' WHEN (baseline - live) / baseline * 100 > 5 THEN 'DEGRADED' ELSE 'HEALTHY' END AS status FROM m WHERE baseline <> 0""")
+def drift(spark, d):
+    """Live against baseline metrics."""
+    part = lambda k: F.avg(F.when(F.col("event_id") % 2 == k, F.col("value")))
+    m = table(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg(part(0).alias("baseline"), part(1).alias("live")).where("baseline <> 0")
+    drop = (F.col("baseline") - F.col("live")) / F.col("baseline") * 100
+    return m.select("name", F.round(drop, 4).alias("drop_pct"), F.when(drop > 10, "DRIFT_DETECTED").when(drop > 5, "DEGRADED").otherwise("HEALTHY").alias("status"))
+
+
+@query(f"""WITH {FOUND} SELECT doc_id, phi_type AS entity_type, start, CAST(length(text) AS INTEGER) AS original_len, CASE phi_type WHEN 'phone_numbers' THEN 'mask' WHEN 'ip_addresses' THEN 'mask' ELSE 'replace' END AS policy FROM f WHERE phi_type IN ('phone_numbers', 'ip_addresses', 'email_addresses')""")
+def mask_audit(spark, d):
+    """Audit rows of masked detections."""
+    found = D.detect(docs(spark, d), patterns=[r for r in PATTERNS if r[0] in ("phone_numbers", "ip_addresses", "email_addresses")])
+    return found.select("doc_id", F.col("phi_type").alias("entity_type"), "start", F.length("text").alias("original_len"), F.when(F.col("phi_type").isin("phone_numbers", "ip_addresses"), "mask").otherwise("replace").alias("policy"))
+
+
+@query("""SELECT i AS id, 'First' || lpad((i % 100)::VARCHAR, 3, '0') AS first_name, CASE i % 3 WHEN 0 THEN 'North' WHEN 1 THEN 'South' ELSE 'East' END AS city, lpad((i * 7919 % 1000000000)::VARCHAR, 9, '0') AS ssn,
+CAST(CAST(i * 37 % 100000 / 100 AS DECIMAL(12, 2)) AS DOUBLE) AS amount, CAST(DATE '2024-01-01' - CAST(i % 365 AS INTEGER) AS VARCHAR) AS event_date FROM range(1, 1001) t(i)""")
+def dummy_rows(spark, d):
+    """Generated rows by fixed arithmetic instead of random numbers."""
+    i = F.col("id")
+    return spark.range(1, 1001).select(
+        "id", F.concat(F.lit("First"), F.lpad((i % 100).cast("string"), 3, "0")).alias("first_name"), F.when(i % 3 == 0, "North").when(i % 3 == 1, "South").otherwise("East").alias("city"),
+        F.lpad((i * 7919 % 1000000000).cast("string"), 9, "0").alias("ssn"), ((i * 37 % 100000) / 100).cast("decimal(12,2)").cast("double").alias("amount"), F.date_sub(F.lit("2024-01-01").cast("date"), (i % 365).cast("int")).cast("string").alias("event_date"),
+    )
+
+
+@query("SELECT page_id, CAST(k AS INTEGER) AS band, CAST(k * 40 AS INTEGER) AS y1, CAST(k * 40 + 30 AS INTEGER) AS y2, 0.95::DOUBLE AS confidence FROM pages, range(0, 5) t(k)")
+def mock_bands(spark, d):
+    """Five bands a page as a stand-in for text detection."""
+    return table(spark, d, "pages").select("page_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("band")).select("page_id", "band", (F.col("band") * 40).alias("y1"), (F.col("band") * 40 + 30).alias("y2"), F.lit(0.95).alias("confidence"))
+
+
+@query("SELECT doc_id, sha256(text) AS cache_key, length(text) / greatest(1, n_chars)::DOUBLE AS length_ratio FROM documents WHERE text IS NOT NULL")
+def cache_keys(spark, d):
+    """Content keys and length ratios."""
+    return docs(spark, d).where("text is not null").select("doc_id", F.sha2("text", 256).alias("cache_key"), (F.length("text") / F.greatest(F.lit(1), F.col("n_chars"))).alias("length_ratio"))
