@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WordHashes, arrow_rows, durable, mix64, shingle_set, table, to_signed, worker_cache, words_of
 from .components import components
@@ -250,8 +251,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: in
     plain = signed.where("sig is null").select("doc_id", "place", "n_shingles", "node")
     sigs = signed.where("sig is not null").select("sig", "node")
     # A task signs a set once, so a signature has at most a row for each task and set that shares it.
-    common = sigs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    edges = sigs.join(common, "sig").where("node > low").select("node", "low").distinct()
+    low = F.min("node").over(Window.partitionBy("sig"))
+    edges = sigs.select("node", low.alias("low")).where("node > low").distinct()
     hoods = components(edges, "node", "low").withColumnRenamed("component", "hood")
     reps = plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.max("n_shingles").alias("size"))
     members = durable(hoods.join(reps, "node").select("node", "hood", "place", "size"), "members")
