@@ -1,8 +1,8 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
 A token (a word, or the end of a text) is spelled byte by byte, each byte as a path of binary decisions
-through a fixed prefix code. Every decision is predicted from four contexts - the last three and
-four bytes of the word, the whole word so far, and that with the class of the text (the last very
+through a fixed prefix code. Every decision is predicted from three contexts - the last four
+bytes of the word, the whole word so far, and that with the class of the text (the last very
 frequent word) - each hashed into a table of counts. A gate, chosen by how often the two longest
 contexts were seen, holds the weights that mix the stretched predictions, and a second table
 refines the result adaptively. Bits of probability add up to bits per byte.
@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, durable, fold, mix64, table, to_signed, worker_cache
 
-TABLE_BITS = (20, 20, 22, 22)  # slots of each context's table, as a power of two
-CONTEXTS = 4
-LONG = 2  # from this context on, the gate looks at how it was seen
+TABLE_BITS = (20, 22, 22)  # slots of each context's table, as a power of two
+CONTEXTS = 3
+LONG = 1  # from this context on, the gate looks at how it was seen
 CHUNK_BITS = 14
 HEAD = 1 << 18  # words whose counts go to every task; the others are joined
-CLASSES = 32  # very frequent words that name the class of a text
+CLASSES = 16  # very frequent words that name the class of a text
 STATES = 6  # how often, and how evenly, a context was seen
 GATES = STATES * STATES
 BUCKETS = 33
@@ -116,7 +116,7 @@ class Speller:
         three = last[0] | last[1] << np.uint32(8) | last[2] << np.uint32(16)
         four = three | last[3] << np.uint32(24)
         prefix = mix64(prefix + place.astype(np.uint64))
-        contexts = [three * np.uint32(0x85EBCA6B) ^ np.uint32(0x1234567), four * np.uint32(0xC2B2AE35), prefix.astype(np.uint32), mix64(prefix ^ np.repeat(self.classes[classes], whole)).astype(np.uint32)]
+        contexts = [four * np.uint32(0xC2B2AE35), prefix.astype(np.uint32), mix64(prefix ^ np.repeat(self.classes[classes], whole)).astype(np.uint32)]
         steps = self.length[chars]
         ends = np.cumsum(steps)
         path = np.repeat(self.start[chars] - (ends - steps), steps) + np.arange(int(ends[-1]) if len(ends) else 0)
@@ -178,7 +178,7 @@ class Mixer:
 
 
 def start_weights() -> np.ndarray:
-    w = np.full((GATES, CONTEXTS + 1), 0.25)
+    w = np.full((GATES, CONTEXTS + 1), 0.4)
     w[:, CONTEXTS] = 0
     return w
 
