@@ -5,7 +5,7 @@ paragraphs' vectors, lane by lane, modulo powers of two. So the order of paragra
 matter, and one paragraph is added or taken away by adding or subtracting its vector.
 
 A vector has a count lane and four dense lanes from two 64-bit hashes of the whole paragraph
-(mod 2^32), and 128 bit lanes (mod 2^16) that sum the hash bits of the paragraph's sentences,
+(mod 2^31), and 128 bit lanes (mod 2^16) that sum the hash bits of the paragraph's sentences,
 blank ones left out.
 The dense lanes carry equality; the bit lanes keep likeness, since the cosine of two such sums
 estimates how much of their sentences two documents share.
@@ -21,7 +21,7 @@ from .common import durable, table
 
 BIT_WORDS = 32  # each of two hashes gives this many sums of two lanes
 LANES = 4 * BIT_WORDS
-LANE_MOD, DENSE_MOD = 1 << 16, 1 << 32
+LANE_MOD, DENSE_MOD = 1 << 16, 1 << 31
 _LOW = 0x0000000100000001
 
 
@@ -36,7 +36,7 @@ def _sums() -> list[Column]:
 
 
 def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys plus `lanes`, an array of longs: sentence count mod 2^32, 5 dense lanes mod 2^32, LANES bit lanes mod 2^16.
+    """keys plus `lanes`, an array of integers: sentence count and 5 dense lanes mod 2^31, LANES bit lanes mod 2^16.
 
     A null text counts as empty; an empty text has one empty paragraph. Rows with equal keys are
     one document: their vectors add up.
@@ -51,17 +51,17 @@ def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     for h in ("h1", "h2"):
         lanes += [F.pmod(F.col(f"{h}_{i}").bitwiseAND(0xFFFFFFFF), F.lit(LANE_MOD)) for i in range(BIT_WORDS)]
         lanes += [F.pmod(F.shiftrightunsigned(f"{h}_{i}", 32), F.lit(LANE_MOD)) for i in range(BIT_WORDS)]
-    return sums.select(*keys, F.array(*lanes).alias("lanes"))
+    return sums.select(*keys, F.array(*lanes).cast("array<int>").alias("lanes"))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Lanes of a with the paragraphs of b inserted (sign 1) or deleted (sign -1)."""
-    return F.transform(F.zip_with(a, b, lambda x, y: x + sign * y), lambda x, i: F.pmod(x, F.when(i < 6, DENSE_MOD).otherwise(LANE_MOD)))
+    return F.transform(F.zip_with(a, b, lambda x, y: x.cast("long") + sign * y.cast("long")), lambda x, i: F.pmod(x, F.when(i < 6, F.lit(DENSE_MOD)).otherwise(F.lit(LANE_MOD))).cast("int"))
 
 
 def fingerprint(lanes: Column) -> Column:
     """The lanes as hexadecimal text: 8 digits for each of the first six, 4 for the others."""
-    return F.concat_ws("", F.transform(lanes, lambda x, i: F.lpad(F.lower(F.hex(x)), F.when(i < 6, 8).otherwise(4), F.lit("0"))))
+    return F.concat_ws("", F.transform(lanes, lambda x, i: F.lpad(F.lower(F.hex(x.cast("long"))), F.when(i < 6, 8).otherwise(4), F.lit("0"))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -98,11 +98,11 @@ def edited_documents(docs: DataFrame) -> DataFrame:
     """(k, dup, next_k, next_dup, doc_id, text, edited): each row with its text and its edited text.
 
     Documents follow each other by descending doc_id; rows with one doc_id follow each other by text,
-    and a null doc_id comes last. The text is dealt out once, by doc_id; the next document sends only
+    and a null doc_id comes last. The text is dealt out once, by doc_id (all three uses read the same exchange); the next document sends only
     the characters that are needed. A null text counts as empty.
     """
     lowest = F.lit(-(1 << 63))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     order = successors(docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("k")), "k").join(
         docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("times")), "k"
     )
@@ -121,7 +121,7 @@ def edited_documents(docs: DataFrame) -> DataFrame:
     )
     kept = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))")
     return placed.join(parts, (F.col("k") == F.col("a_k")) & (F.col("dup") - F.col("a_dup") == 0)).select(
-        "k", "dup", "next_k", "next_dup", "doc_id", "text", F.concat(kept, "part").alias("edited")
+        "k", "dup", "next_k", "next_dup", F.when(F.col("k") != lowest, F.col("k")).alias("doc_id"), "text", F.concat(kept, "part").alias("edited")
     )
 
 

@@ -210,7 +210,7 @@ def test_op6(spark, docs, empty):
     two = spark.createDataFrame([(1, "a.\nb c.\nd"), (2, "d\na.\nb c."), (3, "a.\nb c."), (4, "d")], "i long, t string")
     v = {r.i: r.lanes for r in op6_fingerprint.vectors(two, ["i"], "t").collect()}
     assert v[1] == v[2] != v[3]
-    sums = spark.createDataFrame([(v[1], v[3], v[4])], "a array<bigint>, b array<bigint>, c array<bigint>").select(op6_fingerprint.combine(F.col("b"), F.col("c")).alias("plus"), op6_fingerprint.combine(F.col("a"), F.col("c"), -1).alias("minus")).first()
+    sums = spark.createDataFrame([(v[1], v[3], v[4])], "a array<int>, b array<int>, c array<int>").select(op6_fingerprint.combine(F.col("b"), F.col("c")).alias("plus"), op6_fingerprint.combine(F.col("a"), F.col("c"), -1).alias("minus")).first()
     assert sums.plus == v[1] and sums.minus == v[3]
     assert op6_fingerprint.fingerprint_documents(empty).count() == 0
 
