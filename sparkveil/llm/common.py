@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import uuid
@@ -32,6 +33,24 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bloom_joins(spark: SparkSession) -> Iterator[None]:
+    """Within it, a shuffled join may drop rows without a partner before the exchange, by a Bloom filter of fixed size.
+
+    Only a filter over the scan of the smaller side (its Filter(...).select(...)) is taken up by the optimiser.
+    """
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "100g"}
+    wanted = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete every intermediate table of this application's scratch folder; call it once results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/sparkveil")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, arrow_rows, durable, mix64, shingle_set, table, to_signed, worker_cache, words_of
+from .common import WordHashes, arrow_rows, bloom_joins, durable, mix64, shingle_set, table, to_signed, worker_cache, words_of
 from .components import components
 
 BLOCK = 2048  # sets of a neighbourhood that one task indexes and queries at most, times two
@@ -255,16 +255,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: in
     edges = sigs.select("node", low.alias("low")).where("node > low").distinct()
     hoods = components(edges, "node", "low").withColumnRenamed("component", "hood")
     reps = plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.max("n_shingles").alias("size"))
-    members = durable(hoods.join(reps, "node").select("node", "hood", "place", "size"), "members")
+    nodes = members = durable(hoods.join(reps, "node").select("node", "hood", "place", "size"), "members")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_SHINGLES)).cast("int")
     members = members.join(members.groupBy("hood").agg(blocks.alias("blocks")), "hood")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = members.select("place", "node", "hood", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.select("place", "node", "hood", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    texts = rows.select("place", "text").join(members, "place")
+    # Texts outside all neighbourhoods need not be dealt out; the second join finds them dealt by place already.
+    near = rows.select("place", "text").join(nodes.where("size > 0").select("place"), "place", "left_semi")
+    texts = near.join(members, "place")
     tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = texts.repartition(tasks, "hood", "low", "high").sortWithinPartitions("hood", "low", "high", "node")
-    found = durable(texts.select("hood", "low", "high", "node", "text").mapInArrow(_link(n, percent), "a long, b long"), "links")
+    with bloom_joins(docs.sparkSession):
+        found = durable(texts.select("hood", "low", "high", "node", "text").mapInArrow(_link(n, percent), "a long, b long").distinct(), "links")
     joined = components(found, "a", "b")
     least = joined.join(reps, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = reps.join(joined, "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
