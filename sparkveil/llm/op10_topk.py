@@ -44,36 +44,36 @@ def integers(rows: list[list[float]], dims: int) -> np.ndarray:
 
 
 class Lists:
-    """The sorted lists of a block of rows: order[i, d] is the row with the i-th lowest value in dimension d."""
+    """The sorted lists of a block of rows: down[d, i] is the row with the i-th highest value in dimension d, up[d, i] with the i-th lowest."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
         if x.dtype != object and len(x):
-            self.order = np.argsort(x, axis=0, kind="stable")
-            self.sorted = np.take_along_axis(x, self.order, axis=0)
+            self.up = np.argsort(x.T, axis=1, kind="stable")
+            self.rising = np.take_along_axis(x.T, self.up, axis=1).astype(np.float64)
+            self.down, self.falling = self.up[:, ::-1].copy(), self.rising[:, ::-1].copy()
 
     def read(self, q: np.ndarray, mark: float, k: int, open_: np.ndarray) -> np.ndarray:
         """Rows among open_ that may be among the k best or reach mark, after sequential reads of the lists."""
         n = len(self.x)
-        used = np.flatnonzero(q)
-        weight = q[used].astype(np.float64)
-        # From the best end: list position 0 is the highest value for a positive weight, the lowest for a negative.
-        up = weight > 0
-        order, values = self.order[:, used], self.sorted[:, used] * weight
-        order, values = np.where(up, order[::-1], order), np.where(up, values[::-1], values)
-        worst = values[-1]
-        seen = np.zeros(n)
-        lost = np.zeros(n)
-        at = 0
+        # Each list is read from its best end: the highest value for a positive weight, the lowest for a negative.
+        pos, neg = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        weight = q[np.concatenate((pos, neg))].astype(np.float64)[:, None]
+        worst = np.concatenate((self.rising[pos, 0], self.falling[neg, 0]))[:, None] * weight
+        gain, read, at = np.zeros(n), [], 0  # gain: what the entries seen add to the worst values
         for depth in DEPTHS:
             to = max(1, min(n, -(-n // depth)))
-            rows = order[at:to].ravel()
-            seen += np.bincount(rows, weights=values[at:to].ravel(), minlength=n)
-            lost += np.bincount(rows, weights=np.broadcast_to(worst, (to - at, len(used))).ravel(), minlength=n)
-            at = to
-            stop = values[to - 1]
-            shown = np.bincount(order[:to].ravel(), weights=np.broadcast_to(stop, (to, len(used))).ravel(), minlength=n)
-            low, high = seen + worst.sum() - lost, seen + stop.sum() - shown
+            if to == at:
+                continue
+            read.append(np.concatenate((self.down[pos, at:to], self.up[neg, at:to])))
+            values = np.concatenate((self.falling[pos, at:to], self.rising[neg, at:to])) * weight - worst
+            gain += np.bincount(read[-1].ravel(), weights=values.ravel(), minlength=n)
+            at, stop = to, values[:, -1:]
+            low = high = worst.sum() + gain
+            if to < n:
+                high = low + stop.sum()
+                for rows in read:
+                    high -= np.bincount(rows.ravel(), weights=np.broadcast_to(stop, rows.shape).ravel(), minlength=n)
             if len(open_) > k:
                 mark = max(mark, np.partition(low[open_], len(open_) - k)[len(open_) - k])
             open_ = open_[high[open_] >= mark - 1 - 1e-9 * abs(mark)]
