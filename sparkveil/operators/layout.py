@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 
 from sparkveil.functions.text import overlap_of_smaller
 
+LINE = 12  # height of the bands in which boxes are paired
+
 
 def words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, word_id, word, start_char, end_char, x1, y1, x2, y2): words between single spaces with running offsets.
@@ -34,7 +36,8 @@ def span_boxes(found: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataF
 def merge_regions(regions: DataFrame, page: str, threshold: float = 0.5) -> DataFrame:
     """Regions of a page joined where boxes overlap by `threshold` of the smaller: union box, best text, all low.
 
-    regions: (page, region_id, x1, y1, x2, y2, confidence, low_confidence). A page's regions are few.
+    regions: (page, region_id, x1, y1, x2, y2, confidence, low_confidence). Boxes are held against those that
+    share a band of LINE with them; a threshold of 0 or less links boxes that lie apart, so all are compared.
     """
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -48,8 +51,13 @@ def merge_regions(regions: DataFrame, page: str, threshold: float = 0.5) -> Data
             return i
 
         box = pdf[["x1", "y1", "x2", "y2"]].to_numpy().tolist()
+        bands: dict[int, list[int]] = {}
         for i, (a1, b1, a2, b2) in enumerate(box):
-            for j in range(i):
+            mine = range(int(b1 // LINE), int(max(b1, b2 - 1) // LINE) + 1) if threshold > 0 else (0,)
+            near = {j for k in mine for j in bands.get(k, ())}
+            for k in mine:
+                bands.setdefault(k, []).append(i)
+            for j in near:
                 c1, d1, c2, d2 = box[j]
                 inter = max(0, min(a2, c2) - max(a1, c1)) * max(0, min(b2, d2) - max(b1, d1))
                 least = min((a2 - a1) * (b2 - b1), (c2 - c1) * (d2 - d1))
@@ -67,10 +75,15 @@ def merge_regions(regions: DataFrame, page: str, threshold: float = 0.5) -> Data
 
 
 def region_pairs(regions: DataFrame, page: str) -> DataFrame:
-    """Pairs of a page's regions that overlap, with the overlap as a share of the smaller box."""
-    side = lambda n: regions.select(page, *[F.col(c).alias(f"{n}_{c}") for c in ("region_id", "x1", "y1", "x2", "y2")])
+    """Pairs of a page's regions that overlap, with the overlap as a share of the smaller box.
+
+    Boxes meet in bands of LINE; of the bands that a pair shares, only the first one has it.
+    """
+    first, last = F.floor(F.col("y1") / LINE), F.floor(F.greatest("y1", F.col("y2") - 1) / LINE)
+    regions = regions.withColumn("_first", first).withColumn("_band", F.explode(F.sequence(first, last)))
+    side = lambda n: regions.select(page, "_band", *[F.col(c).alias(f"{n}_{c}") for c in ("region_id", "x1", "y1", "x2", "y2", "_first")])
     share = overlap_of_smaller([F.col(f"a_{c}") for c in ("x1", "y1", "x2", "y2")], [F.col(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
-    return side("a").join(side("b"), page).where("a_region_id < b_region_id").withColumn("overlap", share).where("overlap > 0")
+    return side("a").join(side("b"), [page, "_band"]).where("a_region_id < b_region_id and _band = greatest(a__first, b__first)").drop("_band", "a__first", "b__first").withColumn("overlap", share).where("overlap > 0")
 
 
 def confidence_split(rows: DataFrame, group: str, threshold: float = 0.5, slack: float = 0.0) -> DataFrame:
