@@ -9,15 +9,15 @@ refines the result adaptively. Bits of probability add up to bits per byte.
 
 Counts are sums, so tasks count their documents on their own and a shuffle adds them up. While it
 counts, each task predicts a quarter of each new stretch of text before it learns it and moves its
-weights online; the weights of all tasks are averaged. Every training document takes part. The tables'
-size is fixed, whatever the corpus.
+weights online; the weights of all tasks are averaged. Every training document takes part. The tables
+grow with the number of distinct words, so that about as many contexts share a slot in a large corpus as in a small one.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, durable, fold, mix64, table, to_signed, worker_cache
 
-TABLE_BITS = (20, 22, 22)  # slots of each context's table, as a power of two
+TABLE_BITS = (20, 22, 22)  # least slots of each context's table, as a power of two
+SLOTS_A_WORD = (2, 16, 16)  # and slots for each distinct word of the corpus
+MOST_BITS = 31  # of a slot's number
 CONTEXTS = 3
 LONG = 1  # from this context on, the gate looks at how it was seen
 CHUNK_BITS = 14
@@ -62,6 +64,11 @@ def prefix_code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(length) - length, length, np.array([n for p in paths for n, _ in p]), np.array([s for p in paths for _, s in p], dtype=np.float32)
 
 
+def table_bits(kinds: int) -> tuple[int, ...]:
+    """Slots of each context's table for so many distinct words, as a power of two."""
+    return tuple(min(MOST_BITS, max(least, (each * max(1, kinds) - 1).bit_length())) for least, each in zip(TABLE_BITS, SLOTS_A_WORD, strict=True))
+
+
 class Speller:
     """Words of a text buffer, their hashes, and the decisions and context slots that spell them."""
 
@@ -99,7 +106,7 @@ class Speller:
         hashes = mix64(np.add.reduceat(each, firsts) + size.astype(np.uint64))
         return flat, start, size, hashes, np.searchsorted(ends, start, side="right")
 
-    def spell(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spell(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, classes: np.ndarray, bits: tuple[int, ...] = TABLE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, bit, slots): for each decision the word's number, the turn, and its slot in each context's table.
 
         A word is the bytes at start and a space; size 0 is the end of a text and is spelled as a newline.
@@ -127,7 +134,7 @@ class Speller:
             h ^= salt
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x9E3779B1)
-            h >>= np.uint32(32 - TABLE_BITS[i])
+            h >>= np.uint32(32 - bits[i])
             slots[i] = h.view(np.int32)
         word = np.repeat(np.arange(len(start)), np.add.reduceat(steps, firsts)) if len(start) else np.zeros(0, np.int64)
         return word, self.bit[path], slots
@@ -150,8 +157,8 @@ def state(counts: np.ndarray) -> np.ndarray:
 class Mixer:
     """Stretched predictions and states by slot, weights by gate, and the refining table."""
 
-    def __init__(self, stretch: list[np.ndarray], seen: list[np.ndarray], weights: np.ndarray, refine: np.ndarray):
-        self.stretch, self.seen, self.weights, self.refine = stretch, seen, weights, refine
+    def __init__(self, stretch: list[np.ndarray], seen: list[np.ndarray], weights: np.ndarray, refine: np.ndarray | None, bits: tuple[int, ...]):
+        self.stretch, self.seen, self.weights, self.refine, self.bits = stretch, seen, weights, refine, bits
 
     def inputs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.empty((CONTEXTS + 1, slots.shape[1]), dtype=np.float32)
@@ -197,22 +204,34 @@ def stretched(counts: np.ndarray) -> np.ndarray:
 class Learner:
     """Counts, weights and refinement of one task."""
 
-    def __init__(self):
-        self.counts = [np.zeros((2, 1 << b), dtype=np.float32) for b in TABLE_BITS]
+    def __init__(self, bits: tuple[int, ...] = TABLE_BITS):
+        self.bits = bits
+        self.counts = [np.zeros((2, 1 << b), dtype=np.float32) for b in bits]
         self.weights, self.refine, self.mass = start_weights(), start_refine(), 0.0
         self.squares = np.zeros_like(self.weights)
 
+    def inputs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As those of a Mixer over all that is counted so far, worked out for these slots alone."""
+        x = np.full((CONTEXTS + 1, slots.shape[1]), 0.3, dtype=np.float32)
+        seen = []
+        for i in range(CONTEXTS):
+            c = self.counts[i][:, slots[i]]
+            x[i] = stretched(c)
+            if i >= LONG:
+                seen.append(state(c))
+        return x, seen[0] * np.uint8(STATES) + seen[1]
+
     def learn(self, s: Stretch) -> None:
         """One stretch of text: predict every fourth part and move the weights, then count all of it."""
         spell, model = speller().spell, None
         if self.mass:
             self.weights = self.weights.astype(np.float32)
-            model = Mixer([stretched(c) for c in self.counts], [state(c) for c in self.counts[LONG:]], self.weights, None)
+            model = Mixer([], [], self.weights, None, self.bits)
         for number, i in enumerate(range(0, len(s.start), PART)):
-            word, bit, slots = spell(s.flat, s.start[i : i + PART], s.size[i : i + PART], s.classes[i : i + PART])
+            word, bit, slots = spell(s.flat, s.start[i : i + PART], s.size[i : i + PART], s.classes[i : i + PART], self.bits)
             m = s.times[i : i + PART].astype(np.float32)[word]
             if model is not None and (number % 4 == 0 or len(s.start) < 8 * PART):
-                x, gate = model.inputs(slots)
+                x, gate = self.inputs(slots)
                 mixed = model.mix(x, gate)
                 b = model.bucket(gate, mixed)
                 self.refine[0] += np.bincount(b, weights=m * bit, minlength=GATES * BUCKETS)
@@ -223,9 +242,9 @@ class Learner:
                 self.squares += pull * pull
                 self.weights += (RATE * pull / np.sqrt(self.squares + 1e-6)).astype(np.float32)
             # Both turns of a slot lie beside each other.
-            turn = bit.astype(np.int32)
+            turn = bit.astype(np.int64)
             for k in range(CONTEXTS):
-                np.add.at(self.counts[k].reshape(-1), slots[k] + (turn << TABLE_BITS[k]), m)
+                np.add.at(self.counts[k].reshape(-1), slots[k].astype(np.int64) + (turn << self.bits[k]), m)
             self.mass += float(m.sum())
 
 
@@ -303,26 +322,33 @@ MODEL_SCHEMA = "chunk int, body binary"
 
 
 def planes(counts: np.ndarray) -> bytes:
-    """Counts as unsigned 32-bit numbers, compressed with equal bytes of all beside each other."""
-    return zlib.compress(np.ascontiguousarray(np.rint(counts).astype("<u4").reshape(-1, 1).view(np.uint8).T).tobytes(), 1)
+    """The places and values of a chunk's counts other than 0, compressed with equal bytes of all beside each other."""
+    flat = np.rint(counts).astype("<u4").ravel()
+    at = np.flatnonzero(flat)
+    step = np.diff(at, prepend=0).astype("<u4")
+    return zlib.compress(np.ascontiguousarray(np.concatenate([step, flat[at]]).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def unplanes(body: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    """All counts of a chunk."""
+    step, value = np.ascontiguousarray(np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(4, -1).T).view("<u4").reshape(2, -1)
+    out = np.zeros(2 << CHUNK_BITS, dtype=np.uint32)
+    out[np.cumsum(step)] = value
+    return out
 
 
 def _learn(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner()
+        learner = Learner(shared.value["bits"])
         for _, docs in stretches(batches, first=FIRST_WORDS):
             learner.learn(Stretch(docs, shared.value["markers"]))
         if learner.mass:
             chunks, bodies = [], []
             for k in range(CONTEXTS):
-                for i in range(0, 1 << TABLE_BITS[k], 1 << CHUNK_BITS):
+                for i in range(0, 1 << learner.bits[k], 1 << CHUNK_BITS):
                     part = learner.counts[k][:, i : i + (1 << CHUNK_BITS)]
                     if part.any():
-                        chunks.append(k << 16 | i >> CHUNK_BITS)
+                        chunks.append(k << 24 | i >> CHUNK_BITS)
                         bodies.append(planes(part))
             chunks.append(-1)
             bodies.append(zlib.compress(np.concatenate([[learner.mass], (learner.weights * learner.mass).ravel(), (learner.refine - start_refine()).ravel()]).astype("<f8").tobytes(), 1))
@@ -356,10 +382,10 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def assemble(rows: list[tuple[int, bytes]]) -> Mixer:
+def assemble(rows: Iterable[tuple[int, bytes]], bits: tuple[int, ...] = TABLE_BITS) -> Mixer:
     """The model from the summed chunks; without any it predicts every turn alike."""
     n = 1 << CHUNK_BITS
-    stretch, seen = [np.zeros(1 << b, dtype=np.float32) for b in TABLE_BITS], [np.zeros(1 << b, dtype=np.uint8) for b in TABLE_BITS[LONG:]]
+    stretch, seen = [np.zeros(1 << b, dtype="<f2") for b in bits], [np.zeros(1 << b, dtype=np.uint8) for b in bits[LONG:]]
     weights, refine = start_weights(), start_refine()
     for chunk, body in rows:
         if chunk < 0:
@@ -367,11 +393,11 @@ def assemble(rows: list[tuple[int, bytes]]) -> Mixer:
             weights = v[1 : 1 + weights.size].reshape(weights.shape) / v[0]
             refine = refine + v[1 + weights.size :].reshape(refine.shape)
         else:
-            k, i = chunk >> 16, (chunk & 0xFFFF) << CHUNK_BITS
+            k, i = chunk >> 24, (chunk & 0xFFFFFF) << CHUNK_BITS
             stretch[k][i : i + n] = np.frombuffer(body[: 2 * n], dtype="<f2")
             if k >= LONG:
                 seen[k - LONG][i : i + n] = np.frombuffer(body[2 * n :], dtype=np.uint8)
-    return Mixer(stretch, seen, weights.astype(np.float32), (refine[0] / refine[1]).astype(np.float32))
+    return Mixer(stretch, seen, weights.astype(np.float32), (refine[0] / refine[1]).astype(np.float32), bits)
 
 
 ROW = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, logs double, score double, h long, times int"
@@ -388,7 +414,7 @@ def _score(shared):
             s, n = Stretch(docs, v["markers"]), len(docs)
             chance = np.zeros(len(s.start))
             for i in range(0, len(chance), PART):
-                word, bit, slots = spell(s.flat, s.start[i : i + PART], s.size[i : i + PART], s.classes[i : i + PART])
+                word, bit, slots = spell(s.flat, s.start[i : i + PART], s.size[i : i + PART], s.classes[i : i + PART], model.bits)
                 x, gate = model.inputs(slots)
                 chance[i : i + PART] = np.bincount(word, weights=model.log10_chance(x, gate, bit), minlength=min(PART, len(chance) - i))
             score = np.bincount(s.owner, weights=chance[s.pair], minlength=n)
@@ -442,10 +468,11 @@ def score(docs: DataFrame, learn: Column, held_out: Column | None = None) -> Dat
     h, c = head["h"].to_numpy().astype(np.int64).view(np.uint64), head["c"].to_numpy()
     markers = h[np.lexsort((h, -c))[:CLASSES]]
     order = np.argsort(h)
-    shared = spark.sparkContext.broadcast({"markers": markers})
+    bits = table_bits(kinds)
+    shared = spark.sparkContext.broadcast({"markers": markers, "bits": bits})
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     learnt = training.mapInArrow(_learn(shared), MODEL_SCHEMA).repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_add, MODEL_SCHEMA)
-    model = assemble([(r["chunk"], bytes(r["body"])) for r in learnt.toLocalIterator()])  # the tables' fixed size
+    model = assemble(((r["chunk"], bytes(r["body"])) for r in learnt.toLocalIterator()), bits)
     shared = spark.sparkContext.broadcast({"markers": markers, "head": h[order], "head_counts": c[order], "ends": ends, "model": model})
     scored = durable(rows.select("doc_id", "held_out", "text").mapInArrow(_score(shared), ROW), "scored")
     rare = scored.where("h is not null").select("row", "h", "times").join(words, "h", "left")
