@@ -1,14 +1,14 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
 A token (a word, or the end of a text) is spelled byte by byte, each byte as a path of binary decisions
-through a fixed prefix code. Every decision is predicted from three contexts - the last four
-bytes of the word, the whole word so far, and that with the class of the text (the last very
+through a fixed prefix code. Every decision is predicted from four contexts - the last three and
+four bytes of the word, the whole word so far, and that with the class of the text (the last very
 frequent word) - each hashed into a table of counts. A gate, chosen by how often the two longest
 contexts were seen, holds the weights that mix the stretched predictions, and a second table
 refines the result adaptively. Bits of probability add up to bits per byte.
 
 Counts are sums, so tasks count their documents on their own and a shuffle adds them up. While it
-counts, each task predicts a quarter of each new stretch of text before it learns it and moves its
+counts, each task predicts every part of each stretch of text before it learns it and moves its
 weights online; the weights of all tasks are averaged. Every training document takes part. The tables
 grow with the number of distinct words, so that about as many contexts share a slot in a large corpus as in a small one.
 """
@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, durable, fold, mix64, table, to_signed, worker_cache
 
-TABLE_BITS = (20, 22, 22)  # least slots of each context's table, as a power of two
-SLOTS_A_WORD = (2, 16, 16)  # and slots for each distinct word of the corpus
+TABLE_BITS = (20, 20, 22, 22)  # least slots of each context's table, as a power of two
+SLOTS_A_WORD = (2, 2, 16, 16)  # and slots for each distinct word of the corpus
 MOST_BITS = 31  # of a slot's number
-CONTEXTS = 3
-LONG = 1  # from this context on, the gate looks at how it was seen
+CONTEXTS = 4
+LONG = 2  # from this context on, the gate looks at how it was seen
 CHUNK_BITS = 14
 HEAD = 1 << 18  # words whose counts go to every task; the others are joined
-CLASSES = 16  # very frequent words that name the class of a text
+CLASSES = 32  # very frequent words that name the class of a text
 STATES = 6  # how often, and how evenly, a context was seen
 GATES = STATES * STATES
 BUCKETS = 33
@@ -123,7 +123,7 @@ class Speller:
         three = last[0] | last[1] << np.uint32(8) | last[2] << np.uint32(16)
         four = three | last[3] << np.uint32(24)
         prefix = mix64(prefix + place.astype(np.uint64))
-        contexts = [four * np.uint32(0xC2B2AE35), prefix.astype(np.uint32), mix64(prefix ^ np.repeat(self.classes[classes], whole)).astype(np.uint32)]
+        contexts = [three * np.uint32(0x85EBCA6B) ^ np.uint32(0x1234567), four * np.uint32(0xC2B2AE35), prefix.astype(np.uint32), mix64(prefix ^ np.repeat(self.classes[classes], whole)).astype(np.uint32)]
         steps = self.length[chars]
         ends = np.cumsum(steps)
         path = np.repeat(self.start[chars] - (ends - steps), steps) + np.arange(int(ends[-1]) if len(ends) else 0)
@@ -185,7 +185,7 @@ class Mixer:
 
 
 def start_weights() -> np.ndarray:
-    w = np.full((GATES, CONTEXTS + 1), 0.4)
+    w = np.full((GATES, CONTEXTS + 1), 0.25)
     w[:, CONTEXTS] = 0
     return w
 
@@ -222,25 +222,23 @@ class Learner:
         return x, seen[0] * np.uint8(STATES) + seen[1]
 
     def learn(self, s: Stretch) -> None:
-        """One stretch of text: predict every fourth part and move the weights, then count all of it."""
-        spell, model = speller().spell, None
-        if self.mass:
-            self.weights = self.weights.astype(np.float32)
-            model = Mixer([], [], self.weights, None, self.bits)
-        for number, i in enumerate(range(0, len(s.start), PART)):
+        """One stretch of text, part by part: predict it, move the weights, then count it."""
+        spell = speller().spell
+        self.weights = self.weights.astype(np.float32)
+        model = Mixer([], [], self.weights, None, self.bits)
+        for i in range(0, len(s.start), PART):
             word, bit, slots = spell(s.flat, s.start[i : i + PART], s.size[i : i + PART], s.classes[i : i + PART], self.bits)
             m = s.times[i : i + PART].astype(np.float32)[word]
-            if model is not None and (number % 4 == 0 or len(s.start) < 8 * PART):
-                x, gate = self.inputs(slots)
-                mixed = model.mix(x, gate)
-                b = model.bucket(gate, mixed)
-                self.refine[0] += np.bincount(b, weights=m * bit, minlength=GATES * BUCKETS)
-                self.refine[1] += np.bincount(b, weights=m, minlength=GATES * BUCKETS)
-                wrong = m * (bit - 1 / (1 + np.exp(-mixed)))
-                mass = np.bincount(gate, weights=m, minlength=GATES)
-                pull = np.stack([np.bincount(gate, weights=wrong * x[k], minlength=GATES) for k in range(CONTEXTS + 1)], axis=1) / (mass + 50)[:, None]
-                self.squares += pull * pull
-                self.weights += (RATE * pull / np.sqrt(self.squares + 1e-6)).astype(np.float32)
+            x, gate = self.inputs(slots)
+            mixed = model.mix(x, gate)
+            b = model.bucket(gate, mixed)
+            self.refine[0] += np.bincount(b, weights=m * bit, minlength=GATES * BUCKETS)
+            self.refine[1] += np.bincount(b, weights=m, minlength=GATES * BUCKETS)
+            wrong = m * (bit - 1 / (1 + np.exp(-mixed)))
+            mass = np.bincount(gate, weights=m, minlength=GATES)
+            pull = np.stack([np.bincount(gate, weights=wrong * x[k], minlength=GATES) for k in range(CONTEXTS + 1)], axis=1) / (mass + 50)[:, None]
+            self.squares += pull * pull
+            self.weights += (RATE * pull / np.sqrt(self.squares + 1e-6)).astype(np.float32)
             # Both turns of a slot lie beside each other.
             turn = bit.astype(np.int64)
             for k in range(CONTEXTS):
