@@ -13,17 +13,17 @@ KEEP = 0.9  # of all tokens in expectation, when sources are mixed
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below the threshold; rows that share a doc_id go if one of them is toxic."""
-    scored = op2_toxicity.score(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
-    toxic = scored.where(F.col("score") >= op2_toxicity.THRESHOLD).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(toxic, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose own score stays below the threshold, whatever their doc_id."""
+    scored = op2_toxicity.score_rows(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return scored.where(F.col("score") < op2_toxicity.THRESHOLD).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id in each group of near duplicates; all without words or without doc_id."""
-    groups = op3_jaccard.jaccard_components(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates, that of the smallest doc_id, a null one last; and all without words."""
+    # The number must stay with its row, so the rows are written with it.
+    rows = durable(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    gone = op3_jaccard.jaccard_components(rows, row="row").where("not least").select("row")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import arrow_rows, durable, fold, table
 
@@ -240,6 +242,24 @@ def _score(model, curve: np.ndarray, scale: np.ndarray):
     return run
 
 
+def _opened(run):
+    """run over batches of whole rows: their text is laid beside them."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(pa.RecordBatch.from_arrays([b.column(0), pc.struct_field(b.column(0), "text")], names=["row", "text"]) for b in batches)
+
+    return opened
+
+
+def score_rows(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = DOCS_PER_CLASS) -> DataFrame:
+    """row, a struct of all columns of docs, with score, ratio and worst of that very row; see score()."""
+    model, curve, scale = fit(docs, labels, learn, limit)
+    shared = docs.sparkSession.sparkContext.broadcast([model])
+    rows = docs.select(F.struct("*").alias("row"))
+    schema = StructType([rows.schema["row"], *[StructField(n, DoubleType()) for n in ("score", "ratio", "worst")]])
+    return rows.mapInArrow(_opened(_score(shared, curve, scale)), schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = DOCS_PER_CLASS) -> DataFrame:
     """doc_id, score, ratio, worst of each row of docs.
 

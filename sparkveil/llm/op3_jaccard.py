@@ -30,7 +30,7 @@ from .components import components
 
 BLOCK = 2048  # sets of a neighbourhood that one task indexes and queries at most, times two
 BLOCK_SHINGLES = 2_000_000  # and their shingles
-NAMES = ["doc_id", "place", "n_shingles", "node", "sig"]
+NAMES = ["doc_id", "place", "n_shingles", "node", "sig", "row"]
 _EDGE = 1.25  # a band of sizes reaches from its lower end to this many times it
 
 
@@ -93,7 +93,7 @@ def _sign(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, cache = Bands(percent), _hashes()
         seen: set[int] = set()
-        for doc_ids, places, texts in arrow_rows(batches, "doc_id", "place", "text"):
+        for doc_ids, places, texts, rows in arrow_rows(batches, "doc_id", "place", "text", "row"):
             sizes, keys, sigs, owners = [], [], [], []
             for text in texts:
                 s = shingle_set(words_of(text), n, cache)
@@ -105,10 +105,10 @@ def _sign(n: int, percent: int):
                     sigs.append(signatures(s, bands))
                     owners.append(np.full(len(sigs[-1]), key, dtype=np.uint64))
             none = pa.nulls
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none(len(sizes), pa.int64())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none(len(sizes), pa.int64()), pa.array(rows, pa.int64())], names=NAMES)
             if sigs:
                 sig, own = np.concatenate(sigs), np.concatenate(owners)
-                yield pa.RecordBatch.from_arrays([none(len(sig), pa.int64()), none(len(sig), pa.int64()), none(len(sig), pa.int64()), pa.array(to_signed(own)), pa.array(to_signed(sig))], names=NAMES)
+                yield pa.RecordBatch.from_arrays([none(len(sig), pa.int64()), none(len(sig), pa.int64()), none(len(sig), pa.int64()), pa.array(to_signed(own)), pa.array(to_signed(sig)), none(len(sig), pa.int64())], names=NAMES)
 
     return run
 
@@ -235,7 +235,7 @@ def _link(n: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK, row: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs.
 
     A row's set: distinct n-word shingles of its lower-cased text; with fewer words, the whole
@@ -244,17 +244,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: in
     null doc_id take part in links but name no component: where a component has no other row, component_id is
     null. Rows that share a doc_id are documents of their own with that name. Shingles are compared
     by 64-bit hashes. Other columns are ignored; an empty table gives no rows.
+
+    row names a column of docs that numbers its rows (long). The result then has it too, and `least`: whether the row is the
+    one of least (doc_id, row) in its component, a null doc_id last. A row without words is a component of its own.
     """
     doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("place"), "text")
-    signed = durable(rows.mapInArrow(_sign(n, percent), "doc_id long, place long, n_shingles long, node long, sig long"), "signatures")
-    plain = signed.where("sig is null").select("doc_id", "place", "n_shingles", "node")
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("place"), "text", (F.lit(None) if row is None else F.col(row)).cast("long").alias("row"))
+    signed = durable(rows.mapInArrow(_sign(n, percent), "doc_id long, place long, n_shingles long, node long, sig long, row long"), "signatures")
+    plain = signed.where("sig is null").select("doc_id", "place", "n_shingles", "node", "row")
     sigs = signed.where("sig is not null").select("sig", "node")
     # A task signs a set once, so a signature has at most a row for each task and set that shares it.
     low = F.min("node").over(Window.partitionBy("sig"))
     edges = sigs.select("node", low.alias("low")).where("node > low").distinct()
     hoods = components(edges, "node", "low").withColumnRenamed("component", "hood")
-    reps = plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.max("n_shingles").alias("size"))
+    reps = plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.max("n_shingles").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
     nodes = members = durable(hoods.join(reps, "node").select("node", "hood", "place", "size"), "members")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_SHINGLES)).cast("int")
     members = members.join(members.groupBy("hood").agg(blocks.alias("blocks")), "hood")
@@ -269,10 +272,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: in
     with bloom_joins(docs.sparkSession):
         found = durable(texts.select("hood", "low", "high", "node", "text").mapInArrow(_link(n, percent), "a long, b long").distinct(), "links")
     joined = components(found, "a", "b")
-    least = joined.join(reps, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = reps.join(joined, "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    with_words = plain.where("node is not null").join(named, "node").select("doc_id", "n_shingles", "component_id")
-    return with_words.union(plain.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    least = joined.join(reps, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("least"))
+    named = reps.join(joined, "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("least", "first")["row"].alias("least"))
+    more = [] if row is None else [F.col("row").alias(row), (F.col("row") == F.col("least")).alias("least")]
+    with_words = plain.where("node is not null").join(named, "node").select("doc_id", "n_shingles", "component_id", *more)
+    return with_words.union(plain.where("node is null").withColumn("least", F.col("row")).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *more))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
