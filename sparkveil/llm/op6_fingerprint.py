@@ -4,9 +4,9 @@ Each paragraph is hashed to a wide vector; a document's fingerprint is the sum o
 paragraphs' vectors, lane by lane, modulo powers of two. So the order of paragraphs does not
 matter, and one paragraph is added or taken away by adding or subtracting its vector.
 
-A vector has a count lane and four dense lanes from two 64-bit hashes of the whole paragraph
-(mod 2^31), and 128 bit lanes (mod 2^16) that sum the hash bits of the paragraph's sentences,
-blank ones left out.
+A vector has a count lane and four dense lanes from two 64-bit hashes of the whole paragraph,
+and 128 bit lanes that sum the hash bits of the paragraph's sentences, blank ones left out; all
+are taken mod 2^31, more than the sentences of any text.
 The dense lanes carry equality; the bit lanes keep likeness, since the cosine of two such sums
 estimates how much of their sentences two documents share.
 """
@@ -21,7 +21,7 @@ from .common import durable, table
 
 BIT_WORDS = 32  # each of two hashes gives this many sums of two lanes
 LANES = 4 * BIT_WORDS
-LANE_MOD, DENSE_MOD = 1 << 16, 1 << 31
+LANE_MOD = 1 << 31
 _LOW = 0x0000000100000001
 
 
@@ -36,7 +36,7 @@ def _sums() -> list[Column]:
 
 
 def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys plus `lanes`, an array of integers: sentence count and 5 dense lanes mod 2^31, LANES bit lanes mod 2^16.
+    """keys plus `lanes`, an array of integers: sentence count, 5 dense lanes and LANES bit lanes, all mod 2^31.
 
     A null text counts as empty; an empty text has one empty paragraph. Rows with equal keys are
     one document: their vectors add up.
@@ -47,7 +47,7 @@ def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     hashes = [F.when(said, h).otherwise(F.lit(0)).alias(n) for n, h in (("h1", F.xxhash64("sent")), ("h2", F.xxhash64(F.lit("second"), "sent")))]
     sent = par.select(*keys, "p1", "p2", (F.col("pos") == 0).alias("first"), said.alias("said"), *hashes)
     sums = sent.groupBy(*keys).agg(*_sums())
-    lanes = [F.pmod(F.col(c), F.lit(DENSE_MOD)) for c in ("n", "paragraphs", "d0", "d1", "d2", "d3")]
+    lanes = [F.pmod(F.col(c), F.lit(LANE_MOD)) for c in ("n", "paragraphs", "d0", "d1", "d2", "d3")]
     for h in ("h1", "h2"):
         lanes += [F.pmod(F.col(f"{h}_{i}").bitwiseAND(0xFFFFFFFF), F.lit(LANE_MOD)) for i in range(BIT_WORDS)]
         lanes += [F.pmod(F.shiftrightunsigned(f"{h}_{i}", 32), F.lit(LANE_MOD)) for i in range(BIT_WORDS)]
@@ -56,19 +56,19 @@ def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Lanes of a with the paragraphs of b inserted (sign 1) or deleted (sign -1)."""
-    return F.transform(F.zip_with(a, b, lambda x, y: x.cast("long") + sign * y.cast("long")), lambda x, i: F.pmod(x, F.when(i < 6, F.lit(DENSE_MOD)).otherwise(F.lit(LANE_MOD))).cast("int"))
+    return F.zip_with(a, b, lambda x, y: F.pmod(x.cast("long") + sign * y.cast("long"), F.lit(LANE_MOD)).cast("int"))
 
 
 def fingerprint(lanes: Column) -> Column:
-    """The lanes as hexadecimal text: 8 digits for each of the first six, 4 for the others."""
-    return F.concat_ws("", F.transform(lanes, lambda x, i: F.lpad(F.lower(F.hex(x.cast("long"))), F.when(i < 6, 8).otherwise(4), F.lit("0"))))
+    """The lanes as hexadecimal text, 8 digits for each."""
+    return F.concat_ws("", F.transform(lanes, lambda x: F.lpad(F.lower(F.hex(x.cast("long"))), 8, "0")))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two fingerprints' lanes: 1 where they are equal, else the cosine of the signed bit lanes, 0 at least."""
 
     def signed(v: Column) -> Column:
-        return F.transform(F.slice(v, 7, LANES), lambda x: 2.0 * x - F.pmod(v[0], F.lit(LANE_MOD)))
+        return F.transform(F.slice(v, 7, LANES), lambda x: 2.0 * x - v[0])
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
