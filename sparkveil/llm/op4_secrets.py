@@ -21,10 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, table
 
-#: Runs that may hide a secret: 12 characters of keys at least, among them a digit; or a PEM key.
-CANDIDATE = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----.{1,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----|[A-Za-z0-9+/_\-]{12,}={0,2}", re.S)
+#: Runs that may hide a secret: 12 characters of keys at least.
+RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
+PEM_BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
+PEM_END = re.compile(r"-----END [A-Z ]{0,30}PRIVATE KEY-----")
 KINDS = (("private_key", re.compile(r"-----BEGIN")), ("access_key_id", re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$")), ("prefixed_token", re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ)")), ("hex", re.compile(r"[0-9a-f]+$|[0-9A-F]+$")))
 GOOD = re.compile(r"token|secret|passw|pwd|credential|api[_-]?key|apikey|access|private|auth|bearer|\bkey\b", re.I)
+#: Values of any characters, shorter ones too, that are assigned to such a word; and passwords of addresses.
+VALUE = re.compile(r"(?:token|secret|passw|pwd|credential|api[_-]?key|apikey|access|private|auth|bearer|\bkey\b)[\w\-]{0,30}[\"']?\s{0,3}(?:=>|:=|[=:])\s{0,3}(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"'<>,;]{4,}))", re.I)
+LOGIN = re.compile(r"://[^\s:/@\"']{0,200}:([^\s@/\"']{1,200})@")
 BAD = re.compile(r"sha\d*|commit|checksum|digest|uuid|guid|md5|\bhash|example|sample|dummy|placeholder|version|isbn|order|invoice|card|phone|tracking|revision|etag", re.I)
 TEST_PATH = re.compile(r"test|example|fixture|mock|sample|docs?\b", re.I)
 ASSIGNED = re.compile(r"[=:]\s*[\"']?$")
@@ -95,6 +100,44 @@ def example_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
     return out
 
 
+def more_findings(n: int = 3000, seed: int = 6) -> list[tuple[str, str, str, str, int]]:
+    """As example_findings: passwords, short values and runs without digits, and the words, names and paths that look like them."""
+    r = random.Random(seed)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    lower, letters = string.ascii_lowercase, string.ascii_letters
+    prose = lambda: " ".join(pick(lower, r.randint(2, 9)) for _ in range(r.randint(1, 6)))
+    good = ["token", "secret", "password", "api_key", "access_key", "auth_token", "client_secret", "private_key", "passwd", "pwd", "key"]
+    out = []
+    for _ in range(n):
+        path = r.choice(["src", "web", "forum", "crawl", "src/app", "notes"])
+        q = r.choice(['"', "'", ""])
+        set_ = f"{prose()} {r.choice(good)}{r.choice([' = ', '=', ': ', ':'])}{q}"
+        what = r.random()
+        if r.random() < 0.5:
+            value = (
+                pick(letters, r.randint(12, 40)) if what < 0.3 else pick(letters + string.digits + "!#$%&*@^?", r.randint(8, 20)) + r.choice("!#$%&*@^?") if what < 0.6
+                else pick(letters + string.digits, r.randint(7, 11)) + r.choice(string.digits) if what < 0.8 else pick(lower, r.randint(16, 32))
+            )
+            if r.random() < 0.2:
+                out.append((f"{prose()} {r.choice(['postgres', 'https', 'amqp'])}://{pick(lower, r.randint(3, 8))}:", value.replace("@", "!"), f"@{pick(lower, 6)}.org " + prose(), path, 1))
+            else:
+                out.append((set_, value, q + " " + prose(), path, 1))
+        elif what < 0.5:  # long words, names and paths of a text
+            value = (
+                pick(lower, r.randint(12, 24)) if what < 0.2 else pick(lower, r.randint(12, 20)).capitalize() if what < 0.25 else r.choice("-_/").join(pick(lower, r.randint(3, 9)) for _ in range(r.randint(2, 5))).ljust(12, "e")
+                if what < 0.4 else "".join(r.choice(DICTIONARY).capitalize() for _ in range(r.randint(2, 4))).ljust(12, "s") if what < 0.47 else r.choice("-_=*+/") * r.randint(12, 60)
+            )
+            value = value.upper() if r.random() < 0.25 else value
+            out.append((f"{prose()}{r.choice([' ', ' ', ' ', ': '])}", value, r.choice([" ", ". ", ", "]) + prose(), path, 0))
+        else:  # ordinary words and sentences that are assigned
+            value = (
+                r.choice(DICTIONARY).ljust(4, "s") if what < 0.7 else r.choice("-_. ").join(r.choice(DICTIONARY) for _ in range(r.randint(2, 5))) if what < 0.85
+                else pick(lower, r.randint(4, 9)) if what < 0.95 else r.choice(["true", "false", "none", "null", "****", "required", "${" + r.choice(DICTIONARY) + "}", "<" + r.choice(DICTIONARY) + ">"])
+            )
+            out.append((set_, value, q + " " + prose(), path, 0))
+    return out
+
+
 class Forest:
     """A random forest of Gini trees on numpy arrays."""
 
@@ -153,16 +196,26 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
     """Spans of a text that may be secrets, in code points."""
     if not text:
         return []
-    found = []
-    for m in CANDIDATE.finditer(text):
-        value = m.group()
-        if any(c.isdigit() for c in value) or value[0] == "-":
-            found.append(m.span())
-    return found
+    found = [m.span() for m in RUN.finditer(text)]
+    found += [m.span(m.lastindex) for m in VALUE.finditer(text)]
+    found += [m.span(1) for m in LOGIN.finditer(text)]
+    at = 0
+    while (begin := PEM_BEGIN.search(text, at)) and (end := PEM_END.search(text, begin.end())):
+        found.append((begin.start(), end.end()))
+        at = end.end()
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(found):
+        if out and s < out[-1][1]:  # spans that overlap are one
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
-def judge(text: str, path: str | None, spans: list[tuple[int, int]], forest: Forest) -> np.ndarray:
-    return forest.predict(np.array([describe(text[s:e], text[max(0, s - BESIDE) : s], text[e : e + BESIDE], path) for s, e in spans]))
+def judge(texts: list[str | None], paths: list[str | None], spans: list[tuple[int, int, int]], forest: Forest) -> np.ndarray:
+    """The forest's probability of each span (text's number, start, end)."""
+    x = [describe(texts[i][s:e], texts[i][max(0, s - BESIDE) : s], texts[i][e : e + BESIDE], paths[i]) for i, s, e in spans]
+    return forest.predict(np.array(x).reshape(len(spans), FEATURES))
 
 
 def kind_of(value: str) -> str:
@@ -173,8 +226,7 @@ def _scan(forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, paths in arrow_rows(batches, "doc_id", "text", "source"):
             spans = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t)]
-            x = np.array([describe(texts[i][s:e], texts[i][max(0, s - BESIDE) : s], texts[i][e : e + BESIDE], paths[i]) for i, s, e in spans]).reshape(len(spans), FEATURES)
-            p = forest.predict(x)
+            p = judge(texts, paths, spans, forest)
             cols = [[ids[i] for i, _, _ in spans], [s for _, s, _ in spans], [e for _, _, e in spans], [kind_of(texts[i][s:e]) for i, s, e in spans]]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], pa.array(p, pa.float64())], names=["doc_id", "start", "end", "kind", "probability"])
@@ -190,7 +242,7 @@ def find_secrets(docs: DataFrame, findings: list[tuple[str, str, str, str, int]]
     not returned. An empty table gives no rows; without labelled findings of a caller's own the
     examples made by rule are used.
     """
-    forest = train(example_findings() if findings is None else findings)
+    forest = train(example_findings() + more_findings() if findings is None else findings)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
     found = rows.mapInArrow(_scan(forest), "doc_id long, start int, end int, kind string, probability double")
     return found.withColumn("is_secret", F.col("probability") >= threshold)
@@ -201,15 +253,18 @@ def _redact(forest: Forest, threshold: float):
         for batch in batches:
             names = batch.schema.names
             texts, paths = (batch.column(names.index(c)).to_pylist() for c in ("text", "source"))
-            for i, text in enumerate(texts):
-                spans = candidates(text)
-                if spans:
-                    parts, at = [], 0
-                    for (s, e), p in zip(spans, judge(text, paths[i], spans, forest), strict=True):
-                        if p >= threshold:
-                            parts += [text[at:s], f"[SECRET:{kind_of(text[s:e])}]"]
-                            at = e
-                    texts[i] = "".join([*parts, text[at:]])
+            spans = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t)]
+            chances = judge(texts, paths, spans, forest)
+            parts: dict[int, list[tuple[int, int]]] = {}
+            for (i, s, e), p in zip(spans, chances, strict=True):
+                if p >= threshold:
+                    parts.setdefault(i, []).append((s, e))
+            for i, found in parts.items():
+                text, out, at = texts[i], [], 0
+                for s, e in found:
+                    out += [text[at:s], f"[SECRET:{kind_of(text[s:e])}]"]
+                    at = e
+                texts[i] = "".join([*out, text[at:]])
             columns = list(batch.columns)
             columns[names.index("text")] = pa.array(texts, batch.schema.field("text").type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -219,7 +274,7 @@ def _redact(forest: Forest, threshold: float):
 
 def redact_secrets(docs: DataFrame, findings: list[tuple[str, str, str, str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
     """Every row of docs, all its columns, with each secret of `text` replaced by [SECRET:kind]."""
-    forest = train(example_findings() if findings is None else findings)
+    forest = train(example_findings() + more_findings() if findings is None else findings)
     return docs.withColumn("source", F.col("source").cast("string")).mapInArrow(_redact(forest, threshold), docs.withColumn("source", F.col("source").cast("string")).schema)
 
 
