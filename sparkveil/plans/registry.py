@@ -260,14 +260,15 @@ def redacted_log(spark, d):
 @query("SELECT doc_id, regexp_matches(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AS has_number, contains(text, '/home/') OR contains(text, '/Users/') AS has_path FROM documents")
 def commit_scan(spark, d):
     """number and path scans before a commit."""
-    return docs(spark, d).select("doc_id", F.col("text").rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}").alias("has_number"), (F.col("text").contains("/home/") | F.col("text").contains("/Users/")).alias("has_path"))
+    return docs(spark, d).select("doc_id", F.col("text").rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}").alias("has_number"), (F.col("text").contains("/home/") | F.col("text").contains("/Users/") | F.col("text").contains("C:\\Users\\")).alias("has_path"))
 
 
 @query("SELECT page_id, regexp_matches(lower(url), '[.](pdf|png|jpe?g|tiff)$') AS supported, CASE WHEN contains(lower(url), 'ct') THEN 'CT' WHEN contains(lower(url), 'mri') THEN 'MRI' ELSE 'other' END AS modality FROM pages")
 def page_kinds(spark, d):
     """Supported names and image types by name."""
     low = F.lower("url")
-    return table(spark, d, "pages").select("page_id", low.rlike("[.](pdf|png|jpe?g|tiff)$").alias("supported"), F.when(low.contains("ct"), "CT").when(low.contains("mri"), "MRI").otherwise("other").alias("modality"))
+    modality = F.when(low.contains("xray") | low.contains("chest"), "X-RAY").when(low.contains("ct"), "CT").when(low.contains("mri"), "MRI").when(low.contains("ultrasound") | low.contains("us_"), "ULTRASOUND")
+    return table(spark, d, "pages").select("page_id", low.rlike("[.](pdf|png|jpe?g|tiff)$").alias("supported"), modality.otherwise("other").alias("modality"))
 
 
 VOCABULARY = ["the", "and", "patient", "dose", "de", "der", "la"]
