@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from sparkveil.llm import op2_toxicity, op3_jaccard, op4_secrets, op7_packing, op8_mixing
 from sparkveil.llm.common import durable, fold, table
@@ -18,12 +19,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") < op2_toxicity.THRESHOLD).select("row.*")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a column `row` that names each row and stays with it: by its place in its file, else by a written number."""
+    try:
+        return docs.select(*COLUMNS, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row"))
+    except AnalysisException:  # no table of files
+        return durable(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, that of the smallest doc_id, a null one last; and all without words."""
-    # The number must stay with its row, so the rows are written with it.
-    rows = durable(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
-    gone = op3_jaccard.jaccard_components(rows, row="row").where("not least").select("row")
-    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
+    rows = numbered(docs)
+    gone = op3_jaccard.jaccard_components(rows, row="row").where("not least").select(F.col("row").alias("_row"), F.col("doc_id").alias("_doc_id"))
+    # The number is a hash in 64 bits, so the doc_id is compared as well.
+    return rows.join(gone, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -14,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BLOOM_BITS = 1 << 26  # 8 MB
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; only where it is unset (tests) a local one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,7 +44,7 @@ def bloom_joins(spark: SparkSession) -> Iterator[None]:
 
     Only a filter over the scan of the smaller side (its Filter(...).select(...)) is taken up by the optimiser.
     """
-    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "100g"}
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "100g", "numBits": str(BLOOM_BITS), "maxNumBits": str(BLOOM_BITS), "expectedNumItems": str(BLOOM_BITS // 16)}
     wanted = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in wanted.items()}
     before = {k: spark.conf.get(k) for k in wanted}
     try:
@@ -89,7 +94,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word bytes -> 64-bit hash, kept for as long as the limit of entries allows."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
@@ -118,9 +123,19 @@ def shingle_set(words: list[bytes], n: int, cache: WordHashes) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python process; functions sent by value lose their globals."""
-    return sys.__dict__.setdefault("_sparkveil_cache", {})
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python process; functions sent by value lose their globals.
+
+    Workers are used again by later jobs, so what another owner has left there is dropped and its memory given back.
+    """
+    cache = sys.__dict__.setdefault("_sparkveil_cache", {})
+    if cache.get("owner") != owner:
+        cache.clear()
+        cache["owner"] = owner
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    return cache
 
 
 def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:

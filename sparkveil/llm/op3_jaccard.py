@@ -1,114 +1,96 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip) over inverted lists.
 
-1. Signatures. Hash space is cut into m ranges, m by the size of a document's shingle set. Two sets with
-   the wanted Jaccard similarity differ in at most D shingles, so of m > D ranges some hold the same
-   shingles in both. A range's shingles are summed to a signature; only sets that share a
-   signature can be linked. Poor ranges (without shingles; from 90 percent on, with one at most) say
-   little; m has W ranges more than D + 1, so a set with at most W such ranges leaves them out (two
-   linked sets share W + 1 ranges, and a shared poor range is poor in both).
-2. Neighbourhoods: connected components over shared signatures. They hold every link inside.
-3. T-occurrence search inside a neighbourhood: sets at or above the similarity share at least T shingles
-   with the query. Its long lists are set aside, the short ones are merged, and only sets that
-   occur often enough there are looked up in the long lists by binary search.
-4. Components of the links found. A link inside a component that is known already is not searched again.
+1. Prefixes. Two linked sets of sizes a and b share at least T = ceil(percent * max(a, b) / 100) shingles. In the order of
+   their hashes, the first a - T(a) + l shingles of the one and b - T(b) + l of the other have l in common at least.
+   Only these prefixes are dealt out as (token, node); l is as large as what they must hold anyway, so
+   a set stays in only while a good part of its prefix is shared with others, however common its passages are.
+2. Rounds. A token that several sets share is an inverted list. Each set goes, with its shingles, to that of its lists
+   whose sets have most others to meet, of those that one task can hold, and is searched for there: the long lists of the group's index are set aside,
+   the short ones are merged, and sets that occur often enough there are looked up in the long lists by binary
+   search. The links make components. A list is open while it holds two sets of different components that no round
+   has put together yet; a set goes on while it has enough open lists.
+3. What is still open after the rounds is searched for in all of its rarest open lists, those of very many sets
+   in pairs of blocks, so no link is missed.
 
 Documents with equal sets are one node from the start, and only one of their texts is read again.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import WordHashes, arrow_rows, bloom_joins, durable, mix64, shingle_set, table, to_signed, worker_cache, words_of
 from .components import components
 
-BLOCK = 2048  # sets of a neighbourhood that one task indexes and queries at most, times two
+BLOCK = 2048  # sets that one task indexes and queries together, times two
 BLOCK_SHINGLES = 2_000_000  # and their shingles
-NAMES = ["doc_id", "place", "n_shingles", "node", "sig", "row"]
-_EDGE = 1.25  # a band of sizes reaches from its lower end to this many times it
+ROUNDS = 3  # in which a set goes to one list; after them it goes to all that are open
+LEADERS = 32  # sets of a list of several blocks that go to each of them, about
+NAMES = ["doc_id", "place", "n_shingles", "node", "token", "row"]
+_SEEN = 200_000  # sets that a task remembers to have dealt out
+_HEAP = 256  # entries that are merged by a heap; more are merged as sorted runs by numpy
 
 
 def _hashes() -> WordHashes:
-    return worker_cache().setdefault("words", WordHashes())
-
-
-class Bands:
-    """Ranges by size of set. Sizes fall into bands [low, high); sets near the upper end sign in the next band too."""
-
-    def __init__(self, percent: int):
-        self.percent, self.poor = percent, int(percent >= 90)
-        self.cuts: dict[int, np.ndarray] = {}
-        self.lows = [1]
-        while self.lows[-1] < 1 << 40:
-            self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * _EDGE)))
-
-    def ranges(self, band: int) -> tuple[int, int]:
-        """(m, W) of a band: any two linked sets, the smaller one in it, differ in at most m - 1 - W shingles."""
-        high = self.lows[band + 1] - 1
-        other = high * 100 // self.percent
-        differ = (100 - self.percent) * (high + other) // (100 + self.percent)
-        spare = 0 if differ == 0 else 2 + differ // (50 if self.percent >= 90 else 12)
-        return differ + 1 + spare, spare
-
-    def cut(self, m: int) -> np.ndarray:
-        """Where the m ranges of hash space part."""
-        if m not in self.cuts:
-            self.cuts[m] = np.array([(i << 64) // m for i in range(1, m)], dtype=np.uint64)
-        return self.cuts[m]
-
-    def of(self, size: int) -> list[int]:
-        """Bands in which a set of this size may be the smaller or the larger one of a link."""
-        own = int(np.searchsorted(self.lows, size, side="right")) - 1
-        least = -(-size * self.percent // 100)
-        first = int(np.searchsorted(self.lows, least, side="right")) - 1
-        return list(range(first, own + 1))
-
-
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of a sorted set, in all its bands."""
-    out = []
-    mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
-    for band in bands.of(len(s)):
-        m, spare = bands.ranges(band)
-        at = np.concatenate(([0], np.searchsorted(s, bands.cut(m)), [len(s)]))
-        sums = mixed[at[1:]] - mixed[at[:-1]]
-        rich = np.diff(at) > bands.poor
-        keep = rich if 0 < spare >= int((~rich).sum()) else np.ones(m, bool)
-        tag = mix64(np.arange(m, dtype=np.uint64) + np.uint64(band * 1_000_003 + 7))
-        out.append(mix64(sums ^ tag)[keep])
-    return np.concatenate(out)
+    return worker_cache("words").setdefault("words", WordHashes())
+
+
+def shared(n: int, percent: int) -> int:
+    """l of a set of size n: tokens that its prefix has beyond the shortest one."""
+    return max(1, n * (100 - percent) // 200)
+
+
+def prefix(s: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a sorted set; two linked sets have at least the smaller of their l in common there."""
+    n = len(s)
+    return s[: n - -(-n * percent // 100) + shared(n, percent)]
+
+
+def enough(size: Column, percent: int) -> Column:
+    """Open lists that a set needs to have a link: l of the smallest set that it can be linked with."""
+    least = F.ceil(size * percent / 100)
+    return F.greatest(F.lit(1), F.floor(least * (100 - percent) / 200)).cast("long")
 
 
 def set_key(s: np.ndarray) -> int:
     return int(mix64(np.array([np.sum(mix64(s + np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64) + np.uint64(len(s))]))[0])
 
 
+def _signed_key(s: np.ndarray) -> int:
+    return int(np.uint64(set_key(s)).astype(np.int64))
+
+
 def _sign(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, cache = Bands(percent), _hashes()
+        cache = _hashes()
         seen: set[int] = set()
         for doc_ids, places, texts, rows in arrow_rows(batches, "doc_id", "place", "text", "row"):
-            sizes, keys, sigs, owners = [], [], [], []
+            sizes, keys, tokens, owners = [], [], [], []
             for text in texts:
                 s = shingle_set(words_of(text), n, cache)
-                key = set_key(s) if len(s) else None
+                key = _signed_key(s) if len(s) else None
                 sizes.append(len(s))
-                keys.append(None if key is None else int(np.uint64(key).astype(np.int64)))
+                keys.append(key)
                 if key is not None and key not in seen:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
                     seen.add(key)
-                    sigs.append(signatures(s, bands))
-                    owners.append(np.full(len(sigs[-1]), key, dtype=np.uint64))
+                    tokens.append(prefix(s, percent))
+                    owners.append(np.full(len(tokens[-1]), key, dtype=np.int64))
             none = pa.nulls
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none(len(sizes), pa.int64()), pa.array(rows, pa.int64())], names=NAMES)
-            if sigs:
-                sig, own = np.concatenate(sigs), np.concatenate(owners)
-                yield pa.RecordBatch.from_arrays([none(len(sig), pa.int64()), none(len(sig), pa.int64()), none(len(sig), pa.int64()), pa.array(to_signed(own)), pa.array(to_signed(sig)), none(len(sig), pa.int64())], names=NAMES)
+            if tokens:
+                token, own = np.concatenate(tokens), np.concatenate(owners)
+                k = len(token)
+                yield pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), pa.array(own), pa.array(to_signed(token)), none(k, pa.int64())], names=NAMES)
 
     return run
 
@@ -131,6 +113,13 @@ class Index:
         self.keys, self.first = np.unique(flat[order], return_index=True)
         self.end = np.append(self.first[1:], len(flat))
 
+    def merge(self, lists: np.ndarray) -> np.ndarray:
+        """All entries of the lists in ascending order."""
+        runs = [self.owner[self.first[i] : self.end[i]] for i in lists]
+        if sum(map(len, runs)) <= _HEAP:
+            return np.fromiter(heapq.merge(*[r.tolist() for r in runs]), dtype=np.int64)
+        return np.sort(np.concatenate(runs), kind="stable")
+
     def search(self, s: np.ndarray, percent: int) -> np.ndarray:
         """Numbers of the indexed sets linked with s (DivideSkip)."""
         at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
@@ -142,35 +131,32 @@ class Index:
         # Lists set aside: as many of the longest as leave sets that must still occur once in the rest.
         n_long = min(len(at), max(0, least - 1))
         short, long_ = at[: len(at) - n_long], at[len(at) - n_long :]
-        merged = np.sort(np.concatenate([self.owner[self.first[i] : self.end[i]] for i in short]), kind="stable")  # a merge of sorted runs
-        found, counts = np.unique(merged, return_counts=True)
+        found, counts = np.unique(self.merge(short), return_counts=True)
         t = -(-percent * (len(s) + self.sizes[found]) // (100 + percent))
         ok = (100 * np.minimum(len(s), self.sizes[found]) >= percent * np.maximum(len(s), self.sizes[found])) & (counts + n_long >= t)
         found, counts, t = found[ok], counts[ok], t[ok]
-        if n_long and len(found):
-            if len(found) <= 4:  # binary search of the long lists' shingles in the few sets
-                counts = counts + np.array([np.isin(self.keys[long_], self.sets[j], assume_unique=True).sum() for j in found])
-            else:
-                for done, i in enumerate(long_):
-                    run = self.owner[self.first[i] : self.end[i]]
-                    place = np.minimum(np.searchsorted(run, found), len(run) - 1)
-                    counts = counts + (run[place] == found)
-                    if done % 16 == 15:
-                        ok = counts + (n_long - done - 1) >= t
-                        found, counts, t = found[ok], counts[ok], t[ok]
-                        if not len(found):
-                            break
+        for done, i in enumerate(long_):
+            if done % 16 == 0:
+                ok = counts + (n_long - done) >= t
+                found, counts, t = found[ok], counts[ok], t[ok]
+                if not len(found):
+                    break
+            if len(found) <= 4:  # for few sets, their own sorted shingles are probed with all that is left at once
+                counts = counts + np.array([np.isin(self.keys[long_[done:]], self.sets[j], assume_unique=True).sum() for j in found])
+                break
+            run = self.owner[self.first[i] : self.end[i]]
+            place = np.minimum(np.searchsorted(run, found), len(run) - 1)
+            counts = counts + (run[place] == found)
         return found[counts >= t]
 
 
 def links(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct sets.
 
-    First each set is held against a few earlier ones; then sets outside the largest component are
-    searched for among all, which finds every link between different components.
+    Every set outside the largest component is searched for among all, which finds each link between different components.
     """
-    parent = list(range(len(nodes)))
-    out = []
+    index, out = Index(sets), []
+    parent, size = list(range(len(nodes))), [1] * len(nodes)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -178,63 +164,144 @@ def links(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[
             i = parent[i]
         return i
 
-    def link(i: int, j: int) -> None:
-        a, b = root(i), root(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((nodes[i], nodes[j]))
-
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if both >= needed(len(sets[0]), len(sets[1]), percent):
-            link(0, 1)
-        return out
-    leaders: list[int] = []
-    for i, s in enumerate(sets):
-        for j in leaders:
-            if len(np.intersect1d(s, sets[j], assume_unique=True)) >= needed(len(s), len(sets[j]), percent):
-                link(i, j)
-                break
-        else:
-            if len(leaders) < 4:
-                leaders.append(i)
-    roots = [root(i) for i in range(len(nodes))]
-    names, sizes = np.unique(roots, return_counts=True)
-    if len(names) > 1:
-        largest, index = names[int(np.argmax(sizes))], Index(sets)
-        for i, r in enumerate(roots):
-            if r != largest:
-                for j in index.search(sets[i], percent).tolist():
-                    if j != i:
-                        link(i, j)
+    largest, todo = 0, list(range(len(nodes)))
+    while todo:
+        left = []
+        for i in todo:
+            if size[root(largest)] > 1 and root(i) == root(largest):
+                left.append(i)  # it need not be searched for while it is in the largest component
+                continue
+            for j in index.search(sets[i], percent).tolist():
+                a, b = root(i), root(j)
+                if a != b:
+                    a, b = (a, b) if size[a] >= size[b] else (b, a)
+                    parent[b] = a
+                    size[a] += size[b]
+                    out.append((nodes[i], nodes[j]))
+            if size[root(i)] > size[root(largest)]:
+                largest = i
+        top = root(largest)
+        todo = [i for i in left if root(i) != top]  # another component has become the largest since
     return out
 
 
-def _link(n: int, percent: int):
+def _link(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, group = _hashes(), {}, None
+        held, group = {}, None
 
         def found() -> pa.RecordBatch:
             pairs = links(list(held), list(held.values()), percent)
-            held.clear()
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
-        for hoods, lows, highs, nodes, texts in arrow_rows(batches, "hood", "low", "high", "node", "text"):
-            for hood, low, high, node, text in zip(hoods, lows, highs, nodes, texts, strict=True):
-                if (hood, low, high) != group:
+        for tokens, lows, highs, nodes, sets in arrow_rows(batches, "token", "low", "high", "node", "shingles"):
+            for token, low, high, node, s in zip(tokens, lows, highs, nodes, sets, strict=True):
+                if (token, low, high) != group:
                     if len(held) > 1:
                         yield found()
                     held.clear()
-                    group = (hood, low, high)
-                s = shingle_set(words_of(text), n, cache)
-                if len(s) and int(np.uint64(set_key(s)).astype(np.int64)) == node:  # rows that share a doc_id may have other texts
-                    held[node] = s
+                    group = (token, low, high)
+                held[node] = np.frombuffer(s, dtype="<u8")
         if len(held) > 1:
             yield found()
 
     return run
 
 
+def _sets(n: int):
+    """(node, shingles) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _hashes()
+        for (texts,) in arrow_rows(batches, "text"):
+            sets = [s for s in (shingle_set(words_of(t), n, cache) for t in texts) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_signed_key(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def _fresh(rows: DataFrame, marks: list[str]) -> DataFrame:
+    """rows (token, node, marks, ...) with `fresh`: the sets of the list that differ from the set in all marks.
+
+    Counted by inclusion and exclusion from the list's sets with equal marks; the rows are dealt out once, by token.
+    """
+    subsets = [c for k in range(len(marks) + 1) for c in combinations(marks, k)]
+    fresh = sum((-1) ** len(c) * F.count(F.lit(1)).over(Window.partitionBy("token", *c)) for c in subsets)
+    return rows.withColumn("fresh", fresh).where("fresh > 0")
+
+
+def _open(held: DataFrame, nodes: DataFrame, rounds: int, percent: int) -> DataFrame:
+    """(token, node, size, n, fresh, weight, has): the open lists (n sets each) of the sets that have enough of them.
+
+    A list is open for a set while `fresh` of its sets are in other components and were never together with it in a round.
+    Lists of the same sets are one, of their summed weight; has: the weight of all open lists of a set.
+    """
+    rows = held.join(nodes, "node")
+    if rounds:
+        rows = _fresh(rows, ["component", *[f"team{r}" for r in range(rounds)]])
+    names = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"s{k}") for k in (1, 2)]
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), *names).where("n > 1")
+    lists = lists.groupBy("n", "s1", "s2").agg(F.min("token").alias("token"), F.sum("weight").alias("weight"))
+    rows = rows.select("token", "node", "size", *(["fresh"] if rounds else [])).join(lists.select("token", "n", "weight"), "token")
+    kept = rows.groupBy("node").agg(F.sum("weight").alias("has"), F.first("size").alias("of")).where(F.col("has") >= enough(F.col("of"), percent))
+    return rows.join(kept.select("node", "has"), "node").select("token", "node", "size", "n", "weight", "has", F.col("fresh") if rounds else F.col("n").alias("fresh"))
+
+
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """members (token, node, size) of lists with two sets or more, with `blocks`, into how many their list is cut."""
+    cut = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    return members.join(members.groupBy("token").agg(cut, F.count(F.lit(1)).alias("sets")).where("sets > 1"), "token")
+
+
+def _search(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside each group (token, low, high) of members."""
+    tasks = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = members.join(sets, "node").repartition(tasks, "token", "low", "high").sortWithinPartitions("token", "low", "high", "node")
+    return durable(rows.select("token", "low", "high", "node", "shingles").mapInArrow(_link(percent), "a long, b long").distinct(), "links")
+
+
+def _one_list(held: DataFrame, block: int) -> DataFrame:
+    """(token, node, size) by which each set goes to one of its open lists.
+
+    Of the lists that one task holds it is that of most fresh sets in all, so that sets which have to meet choose alike; else the shortest.
+    """
+    score = F.when(F.first("n") <= block, F.sum("fresh")).otherwise(-F.first("n"))
+    rows = held.select("token", "node", "size").join(held.groupBy("token").agg(score.alias("score")), "token")
+    return rows.groupBy("node").agg(F.first("size").alias("size"), F.max(F.struct("score", "token")).alias("best")).select("node", "size", "best.token")
+
+
+def linked(held: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
+    """(node, component) of nodes with links. held: (token, node, weight), sizes: (node, size), sets: (node, shingles)."""
+    nodes = durable(sizes.select("node", "size", F.col("node").alias("component")), "nodes")
+    found = None
+    for r in range(ROUNDS + 1):
+        still = durable(_open(held, nodes, r, percent), "open")
+        if still.limit(1).count() == 0:
+            break
+        held = still.select("token", "node", "weight")
+        whole = F.pmod(F.xxhash64(F.lit(r), "node"), F.col("blocks")).cast("int")
+        if r < ROUNDS:
+            members = durable(_blocks(_one_list(still, block), block).withColumn("own", whole), "members")
+            leader = F.pmod(F.xxhash64(F.lit("leader"), F.lit(r), "node"), F.ceil(F.col("sets") / LEADERS)) == 0
+            to = F.when(leader, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+            groups = members.select("token", "node", F.explode(to).alias("low")).withColumn("high", F.col("low"))
+        else:
+            rarer = F.coalesce(F.sum("weight").over(Window.partitionBy("node").orderBy("n", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            members = still.withColumn("rarer", rarer).where(F.col("rarer") <= F.col("has") - enough(F.col("size"), percent))
+            members = _blocks(members.select("token", "node", "size"), block).withColumn("own", whole).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            groups = members.select("token", "node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        new = _search(groups, sets, percent)
+        found = new if found is None else found.union(new)
+        joined = components(found, "a", "b")
+        if r == ROUNDS:
+            return joined
+        team = F.coalesce(F.xxhash64("token", "own"), F.xxhash64(F.lit("alone"), "node")).alias(f"team{r}")
+        old = [c for c in nodes.columns if c != "component"]
+        nodes = held.select("node").distinct().join(nodes, "node").select(*old)
+        nodes = nodes.join(joined, "node", "left").join(members.select("node", "token", "own"), "node", "left").select(*old, F.coalesce("component", "node").alias("component"), team)
+        nodes = durable(nodes, "nodes")
+    return nodes.select("node", "component").limit(0) if found is None else joined
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK, row: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs.
 
@@ -250,28 +317,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: in
     """
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("place"), "text", (F.lit(None) if row is None else F.col(row)).cast("long").alias("row"))
-    signed = durable(rows.mapInArrow(_sign(n, percent), "doc_id long, place long, n_shingles long, node long, sig long, row long"), "signatures")
-    plain = signed.where("sig is null").select("doc_id", "place", "n_shingles", "node", "row")
-    sigs = signed.where("sig is not null").select("sig", "node")
-    # A task signs a set once, so a signature has at most a row for each task and set that shares it.
-    low = F.min("node").over(Window.partitionBy("sig"))
-    edges = sigs.select("node", low.alias("low")).where("node > low").distinct()
-    hoods = components(edges, "node", "low").withColumnRenamed("component", "hood")
+    signed = durable(rows.mapInArrow(_sign(n, percent), "doc_id long, place long, n_shingles long, node long, token long, row long"), "prefixes")
+    plain = signed.where("token is null").select("doc_id", "place", "n_shingles", "node", "row")
+    tokens = signed.where("token is not null").select("token", "node")
+    common = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    common = durable(common.select("token", F.lit(2).alias("least")), "common")
+    with bloom_joins(docs.sparkSession):  # tokens of one set need not be dealt out again
+        held = durable(tokens.join(common.where("least > 1").select("token"), "token", "left_semi").distinct().withColumn("weight", F.lit(1).cast("long")), "held")
+    has = held.groupBy("node").agg(F.count(F.lit(1)).alias("has"))
     reps = plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.max("n_shingles").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
-    nodes = members = durable(hoods.join(reps, "node").select("node", "hood", "place", "size"), "members")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    members = members.join(members.groupBy("hood").agg(blocks.alias("blocks")), "hood")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = members.select("place", "node", "hood", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = members.select("place", "node", "hood", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    # Texts outside all neighbourhoods need not be dealt out; the second join finds them dealt by place already.
-    near = rows.select("place", "text").join(nodes.where("size > 0").select("place"), "place", "left_semi")
-    texts = near.join(members, "place")
-    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    texts = texts.repartition(tasks, "hood", "low", "high").sortWithinPartitions("hood", "low", "high", "node")
-    with bloom_joins(docs.sparkSession):
-        found = durable(texts.select("hood", "low", "high", "node", "text").mapInArrow(_link(n, percent), "a long, b long").distinct(), "links")
-    joined = components(found, "a", "b")
+    sizes = durable(reps.join(has, "node").where(F.col("has") >= enough(F.col("size"), percent)).select("node", "place", "size"), "sizes")
+    with bloom_joins(docs.sparkSession):  # nor texts that no set is asked of
+        near = rows.select("place", "text").join(sizes.where("size > 0").select("place"), "place", "left_semi")
+        # Rows that share a doc_id may have other texts.
+        sets = durable(near.select("text").mapInArrow(_sets(n), "node long, shingles binary").join(sizes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    joined = linked(held, sets, sizes, percent, block)
     least = joined.join(reps, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("least"))
     named = reps.join(joined, "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("least", "first")["row"].alias("least"))
     more = [] if row is None else [F.col("row").alias(row), (F.col("row") == F.col("least")).alias("least")]
