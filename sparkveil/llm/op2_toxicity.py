@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_rows, durable, fold, table
+from .common import arrow_rows, durable, fold, table, worker_cache
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -108,7 +108,7 @@ def ratios(model: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
 class Ratios(dict):
     """Word -> (ratio, length), filled a batch of documents at a time."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self, model: dict[str, np.ndarray]):
         self.model = model
@@ -142,6 +142,7 @@ def features(words: list[bytes], known: Ratios) -> np.ndarray:
 
 def _count():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         counts: dict[tuple[int, int], Counter] = {}
         for texts, toxics, folds in arrow_rows(batches, "text", "toxic", "fold"):
             for text, toxic, part in zip(texts, toxics, folds, strict=True):
@@ -159,6 +160,7 @@ def _measure(models, batch_docs: int = 1000):
     """Features by models.value: one model, or one for each value of a column `fold`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         known = [Ratios(m) for m in models.value]
         for batch in batches:
             names = batch.schema.names

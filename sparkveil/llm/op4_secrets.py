@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table
+from .common import arrow_rows, table, worker_cache
 
 #: Runs that may hide a secret: 12 characters of keys at least.
 RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
@@ -224,6 +224,7 @@ def kind_of(value: str) -> str:
 
 def _scan(forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("secrets")
         for ids, texts, paths in arrow_rows(batches, "doc_id", "text", "source"):
             spans = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t)]
             p = judge(texts, paths, spans, forest)
@@ -250,6 +251,7 @@ def find_secrets(docs: DataFrame, findings: list[tuple[str, str, str, str, int]]
 
 def _redact(forest: Forest, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("secrets")
         for batch in batches:
             names = batch.schema.names
             texts, paths = (batch.column(names.index(c)).to_pylist() for c in ("text", "source"))

@@ -141,7 +141,7 @@ class Speller:
 
 
 def speller() -> Speller:
-    cache = worker_cache()
+    cache = worker_cache("mixing_lm")
     if "speller" not in cache:
         cache["speller"] = Speller()
     return cache["speller"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import importlib.util
+import os
 from array import array
 
 from .common import worker_cache
@@ -27,7 +29,7 @@ class Encoder:
 
     def __init__(self, path: str):
         ranks = path.removesuffix(".json") + ".tiktoken"
-        try:
+        if os.path.exists(ranks) and importlib.util.find_spec("tiktoken"):
             import public_tokenizers
             import tiktoken
 
@@ -35,7 +37,7 @@ class Encoder:
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             core = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
             self.encode, self.letters = core.encode_ordinary, core._core_bpe.encode_single_piece
-        except FileNotFoundError:
+        else:
             from tokenizers import Tokenizer
 
             whole = Tokenizer.from_file(path)
@@ -64,7 +66,7 @@ class _MixedError(Exception):
 class _Pieces(dict):
     """Text after a space -> ids of the space and the text."""
 
-    LIMIT = 600_000
+    LIMIT = 250_000
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
@@ -84,7 +86,7 @@ class _Pieces(dict):
 
 
 def encoder(path: str) -> Encoder:
-    cache = worker_cache()
+    cache = worker_cache("tokens")
     if ("encoder", path) not in cache:
         cache["encoder", path] = Encoder(path)
     return cache["encoder", path]
