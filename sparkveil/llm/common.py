@@ -123,6 +123,13 @@ def shingle_set(words: list[bytes], n: int, cache: WordHashes) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
+def release() -> None:
+    """Gives freed memory back to the system where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_cache(owner: str) -> dict:
     """A dictionary that lives as long as the Python process; functions sent by value lose their globals.
 
@@ -132,16 +139,16 @@ def worker_cache(owner: str) -> dict:
     if cache.get("owner") != owner:
         cache.clear()
         cache["owner"] = owner
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
     return cache
 
 
-def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
-    """Each Arrow batch as Python lists of the named columns."""
+def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 2000) -> Iterator[tuple[list, ...]]:
+    """The Arrow batches as Python lists of the named columns, some rows at a time."""
     for batch in batches:
-        yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
+        columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+        for i in range(0, batch.num_rows, rows):
+            yield tuple(c.slice(i, rows).to_pylist() for c in columns)
 
 
 def to_signed(x: np.ndarray) -> np.ndarray:

@@ -7,17 +7,21 @@ frequent word) - each hashed into a table of counts. A gate, chosen by how often
 contexts were seen, holds the weights that mix the stretched predictions, and a second table
 refines the result adaptively. Bits of probability add up to bits per byte.
 
-Counts are sums, so tasks count their documents on their own and a shuffle adds them up. While it
-counts, each task predicts every part of each stretch of text before it learns it and moves its
-weights online; the weights of all tasks are averaged. Every training document takes part. The tables
-grow with the number of distinct words, so that about as many contexts share a slot in a large corpus as in a small one.
+A word in a class has one probability, whichever text it stands in. So distinct (word, class) pairs are dealt out by the
+word's first four bytes, once: all that contexts of five bytes and more need is then in one place, and their tables
+grow with the corpus, a table for each batch of beginnings. Contexts of up to four bytes, whose number does
+not grow, share tables of fixed size, which are summed over all tasks and sent to them. Weights and
+refinement are moved online, part by part, over all training pairs, each occurrence being predicted from the counts of all others;
+the weights of all tasks are averaged. Last, every pair's probability is joined with the texts that hold it.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +29,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, durable, fold, mix64, table, to_signed, worker_cache
+from .common import arrow_rows, durable, fold, mix64, release, table, to_signed, worker_cache
 
-TABLE_BITS = (20, 20, 22, 22)  # least slots of each context's table, as a power of two
-SLOTS_A_WORD = (2, 2, 16, 16)  # and slots for each distinct word of the corpus
-MOST_BITS = 31  # of a slot's number
+GLOBAL_BITS = (20, 22, 22)  # slots for the last three bytes, the last four, and beginnings of up to three with the class
 CONTEXTS = 4
+EARLY = 4  # bytes of a word that the global tables predict
 LONG = 2  # from this context on, the gate looks at how it was seen
 CHUNK_BITS = 14
-HEAD = 1 << 18  # words whose counts go to every task; the others are joined
+HEAD = 1 << 19  # pairs that go to every task; the others are joined
 CLASSES = 32  # very frequent words that name the class of a text
 STATES = 6  # how often, and how evenly, a context was seen
 GATES = STATES * STATES
 BUCKETS = 33
-RATE = 0.06  # of the weights' moves, against the size of past ones
-STRETCH_WORDS = 1_000_000  # words that are predicted before they are learnt; a task begins with fewer
-FIRST_WORDS = 16_000
-PART = 12_000  # distinct words that are worked on at once
+RATE = 0.15  # of the weights' moves, against the size of past ones
+STRETCH_WORDS = 500_000  # words whose distinct pairs are dealt out together
+PART = 2_500  # distinct pairs that are worked on at once
+BATCH = 60_000  # pairs of a batch of beginnings, at least
 SPACE, NEWLINE = 0x20, 0x0A
 END_HASH = np.uint64(0xA5A5A5A5DEADBEEF)
 #: Bytes from frequent to rare; the others follow in natural order.
@@ -64,11 +67,6 @@ def prefix_code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(length) - length, length, np.array([n for p in paths for n, _ in p]), np.array([s for p in paths for _, s in p], dtype=np.float32)
 
 
-def table_bits(kinds: int) -> tuple[int, ...]:
-    """Slots of each context's table for so many distinct words, as a power of two."""
-    return tuple(min(MOST_BITS, max(least, (each * max(1, kinds) - 1).bit_length())) for least, each in zip(TABLE_BITS, SLOTS_A_WORD, strict=True))
-
-
 class Speller:
     """Words of a text buffer, their hashes, and the decisions and context slots that spell them."""
 
@@ -97,17 +95,26 @@ class Speller:
         edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
         start, end = edge[::2], edge[1::2]
         size = end - start
-        packed = flat[inside]
-        firsts = np.cumsum(size) - size
-        if not len(start):
-            return flat, start, size, np.zeros(0, np.uint64), start
-        place = np.arange(len(packed)) - np.repeat(firsts, size)
-        each = self.letters[(place & 63) << 8 | packed] * ((place >> 6 << 1) + 1).astype(np.uint64)
-        hashes = mix64(np.add.reduceat(each, firsts) + size.astype(np.uint64))
+        hashes = np.empty(len(start), dtype=np.uint64)
+        for i in range(0, len(start), 50_000):  # a few words at a time, for they need many bytes for each letter
+            hashes[i : i + 50_000] = self.hashes(flat, start[i : i + 50_000], size[i : i + 50_000])
         return flat, start, size, hashes, np.searchsorted(ends, start, side="right")
 
-    def spell(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, classes: np.ndarray, bits: tuple[int, ...] = TABLE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, bit, slots): for each decision the word's number, the turn, and its slot in each context's table.
+    def hashes(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The hashes that words() gives, of words at start; END_HASH where the size is 0."""
+        out = np.full(len(start), END_HASH)
+        some = np.flatnonzero(size)
+        if len(some):
+            n = size[some]
+            firsts = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(firsts, n)
+            packed = flat[np.repeat(start[some], n) + place]
+            each = self.letters[(place & 63) << 8 | packed] * ((place >> 6 << 1) + 1).astype(np.uint64)
+            out[some] = mix64(np.add.reduceat(each, firsts) + n.astype(np.uint64))
+        return out
+
+    def spell(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, bit, contexts, late): for each decision the word's number, the turn, 32 bits of each context's hash, and whether EARLY bytes came before.
 
         A word is the bytes at start and a space; size 0 is the end of a text and is spelled as a newline.
         """
@@ -128,16 +135,17 @@ class Speller:
         ends = np.cumsum(steps)
         path = np.repeat(self.start[chars] - (ends - steps), steps) + np.arange(int(ends[-1]) if len(ends) else 0)
         salt = self.path_salt[path]
-        slots = np.empty((CONTEXTS, len(path)), dtype=np.int32)
+        out = np.empty((CONTEXTS, len(path)), dtype=np.uint32)
         for i, c in enumerate(contexts):
             h = np.repeat(c, steps)
             h ^= salt
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x9E3779B1)
-            h >>= np.uint32(32 - bits[i])
-            slots[i] = h.view(np.int32)
+            h ^= h >> np.uint32(13)
+            h *= np.uint32(0x85EBCA77)
+            out[i] = h
         word = np.repeat(np.arange(len(start)), np.add.reduceat(steps, firsts)) if len(start) else np.zeros(0, np.int64)
-        return word, self.bit[path], slots
+        return word, self.bit[path], out, np.repeat(place >= EARLY, steps)
 
 
 def speller() -> Speller:
@@ -147,41 +155,23 @@ def speller() -> Speller:
     return cache["speller"]
 
 
-def state(counts: np.ndarray) -> np.ndarray:
-    """Of (2, slots) counts: 0 never seen; 1, 2, 3 one turn only, once, up to eight times, more; 4, 5 both turns, up to 32 times, more."""
-    n = counts.sum(axis=0)
-    one = np.minimum(counts[0], counts[1]) == 0
-    return np.where(one, (n >= 1).astype(np.uint8) + (n >= 2) + (n > 8), 4 + (n > 32)).astype(np.uint8)
-
-
-class Mixer:
-    """Stretched predictions and states by slot, weights by gate, and the refining table."""
-
-    def __init__(self, stretch: list[np.ndarray], seen: list[np.ndarray], weights: np.ndarray, refine: np.ndarray | None, bits: tuple[int, ...]):
-        self.stretch, self.seen, self.weights, self.refine, self.bits = stretch, seen, weights, refine, bits
+def without_tables() -> None:
+    """Gives back the memory of global tables that an earlier step has left in this process."""
+    if worker_cache("mixing_lm").pop("tables", None) is not None:
+        worker_cache("mixing_lm").pop("tables_of")
+        release()
 
-    def inputs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.empty((CONTEXTS + 1, slots.shape[1]), dtype=np.float32)
-        for i in range(CONTEXTS):
-            x[i] = self.stretch[i][slots[i]]
-        x[CONTEXTS] = 0.3
-        return x, self.seen[0][slots[LONG]] * np.uint8(STATES) + self.seen[1][slots[LONG + 1]]
 
-    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        out = self.weights[:, CONTEXTS][gate] * x[CONTEXTS]
-        for i in range(CONTEXTS):
-            out += self.weights[:, i][gate] * x[i]
-        return np.clip(out, -12, 12, out=out)
+def state(counts: np.ndarray) -> np.ndarray:
+    """Of (n, 2) counts: 0 never seen; 1, 2, 3 one turn only, once, up to eight times, more; 4, 5 both turns, up to 32 times, more."""
+    n = counts[:, 0] + counts[:, 1]
+    one = np.minimum(counts[:, 0], counts[:, 1]) <= 0
+    return np.where(one, (n >= 1).astype(np.uint8) + (n >= 2) + (n > 8), 4 + (n > 32)).astype(np.uint8)
 
-    def bucket(self, gate: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-        return gate.astype(np.int32) * BUCKETS + np.rint((np.clip(mixed, -8, 8) + 8) * ((BUCKETS - 1) / 16)).astype(np.int32)
 
-    def log10_chance(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each turn taken."""
-        mixed = self.mix(x, gate)
-        p = 1 / (1 + np.exp(-mixed))
-        p = 0.5 * p + 0.5 * self.refine[self.bucket(gate, mixed)]
-        return np.log10(np.where(bit > 0, p, 1 - p))
+def stretched(counts: np.ndarray) -> np.ndarray:
+    """ln of the odds of turn 1; counts: (n, 2)."""
+    return np.log((counts[:, 1] + np.float32(0.05)) / (counts[:, 0] + np.float32(0.05)))
 
 
 def start_weights() -> np.ndarray:
@@ -196,54 +186,128 @@ def start_refine() -> np.ndarray:
     return np.stack([np.tile(p * 30, GATES), np.full(GATES * BUCKETS, 30.0)])
 
 
-def stretched(counts: np.ndarray) -> np.ndarray:
-    """ln of the odds of turn 1; counts: (2, slots)."""
-    return np.log((counts[1] + 0.05) / (counts[0] + 0.05)).astype(np.float32)
+def new_tables() -> list[np.ndarray]:
+    """Global counts: (slots, 2) for each of GLOBAL_BITS."""
+    return [np.zeros((1 << b, 2), dtype=np.float32) for b in GLOBAL_BITS]
 
 
-class Learner:
-    """Counts, weights and refinement of one task."""
+def add(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray, times: np.ndarray) -> None:
+    np.add.at(counts.reshape(-1), slots.astype(np.int64) * 2 + bit.astype(np.int64), times)
+
+
+def global_slots(h: np.ndarray) -> list[np.ndarray]:
+    return [h[i] >> np.uint32(32 - b) for i, b in ((0, GLOBAL_BITS[0]), (1, GLOBAL_BITS[1]), (3, GLOBAL_BITS[2]))]
+
+
+def count_globally(tables: list[np.ndarray], bit: np.ndarray, h: np.ndarray, late: np.ndarray, times: np.ndarray) -> None:
+    three, four, short = global_slots(h)
+    add(tables[0], three, bit, times)
+    add(tables[1], four, bit, times)
+    early = ~late
+    add(tables[2], short[early], bit[early], times[early])
+
+
+def taken(counts: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Both turns' counts of each slot as one complex number, which is read at once."""
+    return counts.view(np.complex64).reshape(-1).take(slots.astype(np.int64))
+
+
+class Batch:
+    """The pairs of some beginnings of words, with the counts of their contexts of EARLY bytes and more."""
+
+    def __init__(self, body: bytes):
+        self.flat, self.size, self.classes, self.times = unpacked(body)
+        self.start = np.cumsum(self.size) - self.size
+        self.hashes = speller().hashes(self.flat, self.start, self.size)
+        decisions = 5 * int((self.size + 1)[self.times > 0].sum())
+        self.bits = min(26, max(10, decisions.bit_length()))
+        self.late = np.zeros((1 << self.bits, 2), dtype=np.float32)
 
-    def __init__(self, bits: tuple[int, ...] = TABLE_BITS):
-        self.bits = bits
-        self.counts = [np.zeros((2, 1 << b), dtype=np.float32) for b in bits]
-        self.weights, self.refine, self.mass = start_weights(), start_refine(), 0.0
-        self.squares = np.zeros_like(self.weights)
+    def parts(self, only_training: bool) -> Iterator[tuple]:
+        """(numbers of the pairs, spelling) of PART pairs at a time."""
+        which = np.flatnonzero(self.times > 0) if only_training else np.arange(len(self.start))
+        for i in range(0, len(which), PART):
+            part = which[i : i + PART]
+            yield part, speller().spell(self.flat, self.start[part], self.size[part], self.classes[part])
 
-    def inputs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As those of a Mixer over all that is counted so far, worked out for these slots alone."""
-        x = np.full((CONTEXTS + 1, slots.shape[1]), 0.3, dtype=np.float32)
+    def late_slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shift = np.uint32(32 - self.bits)
+        return h[2] >> shift, (h[3] * np.uint32(0x9E3779B1) ^ np.uint32(0x5BD1E995)) >> shift
+
+    def count(self) -> Batch:
+        for part, (word, bit, h, late) in self.parts(True):
+            times = self.times[part].astype(np.float32)[word]
+            for slots in self.late_slots(h):
+                add(self.late, slots[late], bit[late], times[late])
+        return self
+
+    def inputs(self, tables: list[np.ndarray], bit: np.ndarray, h: np.ndarray, late: np.ndarray, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched predictions and gates; `without` (1 or 0) tells which decisions are taken out of the counts they are predicted from."""
+        three, four, short = global_slots(h)
+        early, late = np.flatnonzero(~late), np.flatnonzero(late)
+        first, second = taken(tables[0], three), taken(tables[1], four)
+        counts = [first, second, second.copy(), np.empty_like(first)]
+        counts[3][early] = taken(tables[2], short[early])
+        for i, slots in zip((2, 3), self.late_slots(h), strict=True):
+            counts[i][late] = taken(self.late, slots[late])
+        x = np.full((CONTEXTS + 1, len(bit)), 0.3, dtype=np.float32)
         seen = []
-        for i in range(CONTEXTS):
-            c = self.counts[i][:, slots[i]]
+        own = None if without is None else (without * (1 - bit) + 1j * (without * bit)).astype(np.complex64)
+        for i, c in enumerate(counts):
+            if own is not None:
+                c = c - own
+            c = c.view(np.float32).reshape(-1, 2)
+            if own is not None:
+                np.maximum(c, 0, out=c)
             x[i] = stretched(c)
             if i >= LONG:
                 seen.append(state(c))
         return x, seen[0] * np.uint8(STATES) + seen[1]
 
-    def learn(self, s: Stretch) -> None:
-        """One stretch of text, part by part: predict it, move the weights, then count it."""
-        spell = speller().spell
-        self.weights = self.weights.astype(np.float32)
-        model = Mixer([], [], self.weights, None, self.bits)
-        for i in range(0, len(s.start), PART):
-            word, bit, slots = spell(s.flat, s.start[i : i + PART], s.size[i : i + PART], s.classes[i : i + PART], self.bits)
-            m = s.times[i : i + PART].astype(np.float32)[word]
-            x, gate = self.inputs(slots)
-            mixed = model.mix(x, gate)
-            b = model.bucket(gate, mixed)
-            self.refine[0] += np.bincount(b, weights=m * bit, minlength=GATES * BUCKETS)
-            self.refine[1] += np.bincount(b, weights=m, minlength=GATES * BUCKETS)
-            wrong = m * (bit - 1 / (1 + np.exp(-mixed)))
-            mass = np.bincount(gate, weights=m, minlength=GATES)
-            pull = np.stack([np.bincount(gate, weights=wrong * x[k], minlength=GATES) for k in range(CONTEXTS + 1)], axis=1) / (mass + 50)[:, None]
-            self.squares += pull * pull
-            self.weights += (RATE * pull / np.sqrt(self.squares + 1e-6)).astype(np.float32)
-            # Both turns of a slot lie beside each other.
-            turn = bit.astype(np.int64)
-            for k in range(CONTEXTS):
-                np.add.at(self.counts[k].reshape(-1), slots[k].astype(np.int64) + (turn << self.bits[k]), m)
-            self.mass += float(m.sum())
+
+class Mixer:
+    """Weights by gate, and the refining table."""
+
+    def __init__(self, weights: np.ndarray, refine: np.ndarray | None = None):
+        self.weights, self.refine = weights.astype(np.float32), refine
+
+    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        out = self.weights[:, CONTEXTS][gate] * x[CONTEXTS]
+        for i in range(CONTEXTS):
+            out += self.weights[:, i][gate] * x[i]
+        return np.clip(out, -12, 12, out=out)
+
+    def bucket(self, gate: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        return gate.astype(np.int32) * BUCKETS + np.rint((np.clip(mixed, -8, 8) + 8) * ((BUCKETS - 1) / 16)).astype(np.int32)
+
+    def log10_chance(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each turn taken."""
+        mixed = self.mix(x, gate)
+        p = 1 / (1 + np.exp(-mixed))
+        p = 0.5 * p + 0.5 * self.refine[self.bucket(gate, mixed)]
+        return np.log10(np.where(bit > 0, p, 1 - p))
+
+
+class Learner:
+    """Weights and refinement of one task, moved online."""
+
+    def __init__(self):
+        self.refine, self.mass = start_refine(), 0.0
+        self.model = Mixer(start_weights())
+        self.squares = np.zeros((GATES, CONTEXTS + 1))
+
+    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, times: np.ndarray) -> None:
+        """Predict the decisions, then move the weights of their gates and count how each bucket turned out."""
+        mixed = self.model.mix(x, gate)
+        b = self.model.bucket(gate, mixed)
+        self.refine[0] += np.bincount(b, weights=times * bit, minlength=GATES * BUCKETS)
+        self.refine[1] += np.bincount(b, weights=times, minlength=GATES * BUCKETS)
+        wrong = times * (bit - 1 / (1 + np.exp(-mixed)))
+        mass = np.bincount(gate, weights=times, minlength=GATES)
+        pull = np.stack([np.bincount(gate, weights=wrong * x[k], minlength=GATES) for k in range(CONTEXTS + 1)], axis=1) / (mass + 50)[:, None]
+        self.squares += pull * pull
+        self.model.weights += (RATE * pull / np.sqrt(self.squares + 1e-6)).astype(np.float32)
+        self.mass += float(times.sum())
 
 
 def classes_of(hashes: np.ndarray, doc: np.ndarray, n: int, markers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,37 +333,41 @@ class Stretch:
         flat, start, size, hashes, doc = speller().words(texts)
         n = len(texts)
         self.flat = flat if len(flat) else np.zeros(1, np.uint8)
-        self.hashes, self.doc = hashes, doc
         before, after = classes_of(hashes, doc, n, markers)
         classes = np.concatenate([before, after])
         names = np.concatenate([hashes, np.full(n, END_HASH)])
         self.owner = np.concatenate([doc, np.arange(n)])
-        _, first, self.pair, self.times = np.unique(names + mix64(classes.astype(np.uint64) + np.uint64(31)), return_index=True, return_inverse=True, return_counts=True)
+        self.keys, first, self.pair, self.times = np.unique(pair_keys(names, classes), return_index=True, return_inverse=True, return_counts=True)
         self.start, self.size = np.concatenate([start, np.zeros(n, np.int64)])[first], np.concatenate([size, np.zeros(n, np.int64)])[first]
         self.classes = classes[first]
         self.sizes = np.bincount(self.owner, minlength=n)
 
 
+def pair_keys(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return hashes + mix64(classes.astype(np.uint64) + np.uint64(31))
+
+
 def lowered(text: str | None) -> bytes:
     return text.encode("utf-8", "replace").lower() if text else b""
 
 
-def stretches(batches: Iterator[pa.RecordBatch], *names: str, words: int = STRETCH_WORDS, first: int | None = None):
+def stretches(batches: Iterator[pa.RecordBatch], *names: str, words: int = STRETCH_WORDS):
     """Texts of the batches, about `words` words at a time: the other columns' values, and the lower-cased bytes."""
-    others, docs, n, most = [], [], 0, 6 * (first or words)
+    others, docs, n = [], [], 0
     for rows in arrow_rows(batches, *names, "text"):
         for *other, text in zip(*rows, strict=True):
             docs.append(lowered(text))
             others.append(other)
             n += len(docs[-1]) + 1
-            if n >= most:
+            if n >= 6 * words:
                 yield others, docs
-                others, docs, n, most = [], [], 0, min(6 * words, 2 * most)
+                others, docs, n = [], [], 0
     if docs:
         yield others, docs
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    without_tables()
     hashes, counts, ends = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
 
     def rows() -> pa.RecordBatch:
@@ -316,12 +384,92 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([ends], pa.int64()), pa.array([True])], names=["h", "c", "is_end"])
 
 
+PAIR_SCHEMA = "p int, word binary, class int, times long"
+
+
+def _pairs(markers):
+    """Distinct pairs of each stretch, with how often they occur in training texts (0 for other texts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without_tables()
+        for others, docs in stretches(batches, "learn"):
+            s = Stretch(docs, markers.value)
+            learn = np.array([o[0] for o in others], dtype=np.float64)
+            times = np.bincount(s.pair, weights=learn[s.owner], minlength=len(s.keys)).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(s.size)))
+            data = s.flat[np.repeat(s.start - ends[:-1], s.size) + np.arange(int(ends[-1]))]
+            begin = np.zeros(len(s.keys), dtype=np.uint64)
+            for k in range(EARLY):
+                letter = np.where(s.size > k, s.flat[np.minimum(s.start + k, len(s.flat) - 1)], 0)
+                begin |= letter.astype(np.uint64) << np.uint64(8 * k)
+            p = (mix64(begin) >> np.uint64(33)).astype(np.int32)
+            for i in range(0, len(p), 200_000):
+                j = min(len(p), i + 200_000)
+                words = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((ends[i : j + 1] - ends[i]).astype("<i4").tobytes()), pa.py_buffer(data[ends[i] : ends[j]].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(p[i:j]), words, pa.array(s.classes[i:j], pa.int32()), pa.array(times[i:j])], names=["p", "word", "class", "times"])
+
+    return run
+
+
+def packed(flat: np.ndarray, size: np.ndarray, classes: np.ndarray, times: np.ndarray) -> bytes:
+    """Pairs as one value; equal pairs become one."""
+    start = np.cumsum(size) - size
+    _, first, which = np.unique(pair_keys(speller().hashes(flat, start, size), classes), return_index=True, return_inverse=True)
+    n = size[first]
+    ends = np.cumsum(n)
+    letters = flat[np.repeat(start[first] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    return zlib.compress(pickle.dumps((letters.tobytes(), n.astype("<i4").tobytes(), classes[first].astype("u1").tobytes(), np.bincount(which, weights=times, minlength=len(first)).astype("<i8").tobytes())), 1)
+
+
+def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    flat, size, classes, times = pickle.loads(zlib.decompress(body))
+    flat = np.frombuffer(flat, dtype=np.uint8)
+    return flat if len(flat) else np.zeros(1, np.uint8), np.frombuffer(size, "<i4").astype(np.int64), np.frombuffer(classes, "u1").astype(np.int64), np.frombuffer(times, "<i8")
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs sorted by p as bodies of BATCH pairs at least; those of one p are in one body."""
+    without_tables()
+    held: list[tuple] = []
+
+    def joined() -> list[np.ndarray]:
+        out = [np.concatenate(c) for c in zip(*held, strict=True)]
+        held.clear()
+        return out
+
+    def row(p: np.ndarray, size: np.ndarray, classes: np.ndarray, times: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([packed(flat, size, classes, times)], pa.binary())], names=["body"])
+
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        word = b.column(1)
+        ends = np.frombuffer(word.buffers()[1], dtype="<i4")[word.offset : word.offset + len(word) + 1].astype(np.int64)
+        data = word.buffers()[2]
+        flat = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].copy() if data is not None and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+        held.append((b.column(0).to_numpy(), np.diff(ends), b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy(), flat))
+        n += b.num_rows
+        if n >= BATCH:
+            p, size, classes, times, flat = joined()
+            cut = int(np.searchsorted(p, p[-1]))  # the rows before belong to whole beginnings
+            letters = int(size[:cut].sum())
+            if cut:
+                yield row(p[:cut], size[:cut], classes[:cut], times[:cut], flat[:letters])
+            held.append((p[cut:], size[cut:], classes[cut:], times[cut:], flat[letters:]))
+            n = len(p) - cut if cut else n // 2
+    if held:
+        p, size, classes, times, flat = joined()
+        if len(p):
+            yield row(p, size, classes, times, flat)
+
+
 MODEL_SCHEMA = "chunk int, body binary"
 
 
 def planes(counts: np.ndarray) -> bytes:
     """The places and values of a chunk's counts other than 0, compressed with equal bytes of all beside each other."""
-    flat = np.rint(counts).astype("<u4").ravel()
+    flat = np.minimum(np.rint(counts.astype(np.float64)), (1 << 32) - 1).astype("<u4").ravel()
     at = np.flatnonzero(flat)
     step = np.diff(at, prepend=0).astype("<u4")
     return zlib.compress(np.ascontiguousarray(np.concatenate([step, flat[at]]).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
@@ -335,41 +483,36 @@ def unplanes(body: bytes) -> np.ndarray:
     return out
 
 
-def _learn(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(shared.value["bits"])
-        for _, docs in stretches(batches, first=FIRST_WORDS):
-            learner.learn(Stretch(docs, shared.value["markers"]))
-        if learner.mass:
-            chunks, bodies = [], []
-            for k in range(CONTEXTS):
-                for i in range(0, 1 << learner.bits[k], 1 << CHUNK_BITS):
-                    part = learner.counts[k][:, i : i + (1 << CHUNK_BITS)]
-                    if part.any():
-                        chunks.append(k << 24 | i >> CHUNK_BITS)
-                        bodies.append(planes(part))
-            chunks.append(-1)
-            bodies.append(zlib.compress(np.concatenate([[learner.mass], (learner.weights * learner.mass).ravel(), (learner.refine - start_refine()).ravel()]).astype("<f8").tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(bodies, pa.binary())], names=["chunk", "body"])
-
-    return run
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The global counts of a task's bodies, by chunk."""
+    tables, some = new_tables(), False
+    for (bodies,) in arrow_rows(batches, "body"):
+        for body in bodies:
+            b = Batch(body)
+            for part, (word, bit, h, late) in b.parts(True):
+                some = True
+                count_globally(tables, bit, h, late, b.times[part].astype(np.float32)[word])
+    if some:
+        chunks, out = [], []
+        for k, t in enumerate(tables):
+            for i in range(0, len(t), 1 << CHUNK_BITS):
+                part = t[i : i + (1 << CHUNK_BITS)]
+                if part.any():
+                    chunks.append(k << 24 | i >> CHUNK_BITS)
+                    out.append(planes(part))
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(out, pa.binary())], names=["chunk", "body"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the bodies of each chunk; the rows of a chunk follow each other. Counts become odds and states."""
+    """Sums of the bodies of each chunk; the rows of a chunk follow each other."""
     chunk, total = None, None
 
     def done() -> pa.RecordBatch:
-        if chunk < 0:
-            body = total.astype("<f8").tobytes()
-        else:
-            counts = total.reshape(2, -1)
-            body = stretched(counts).astype("<f2").tobytes() + state(counts).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([body], pa.binary())], names=["chunk", "body"])
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([planes(total)], pa.binary())], names=["chunk", "body"])
 
     for chunks, bodies in arrow_rows(batches, "chunk", "body"):
         for c, body in zip(chunks, bodies, strict=True):
-            part = np.frombuffer(zlib.decompress(body), dtype="<f8").copy() if c < 0 else unplanes(body).astype(np.float64)
+            part = unplanes(body).astype(np.float64)
             if c != chunk:
                 if chunk is not None:
                     yield done()
@@ -380,62 +523,90 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def assemble(rows: Iterable[tuple[int, bytes]], bits: tuple[int, ...] = TABLE_BITS) -> Mixer:
-    """The model from the summed chunks; without any it predicts every turn alike."""
-    n = 1 << CHUNK_BITS
-    stretch, seen = [np.zeros(1 << b, dtype="<f2") for b in bits], [np.zeros(1 << b, dtype=np.uint8) for b in bits[LONG:]]
-    weights, refine = start_weights(), start_refine()
-    for chunk, body in rows:
-        if chunk < 0:
-            v = np.frombuffer(body, dtype="<f8")
-            weights = v[1 : 1 + weights.size].reshape(weights.shape) / v[0]
-            refine = refine + v[1 + weights.size :].reshape(refine.shape)
-        else:
+def assembled(shared: dict) -> list[np.ndarray]:
+    """The global tables from the summed chunks, kept by the process."""
+    cache = worker_cache("mixing_lm")
+    if cache.get("tables_of") != shared["name"]:
+        cache.pop("tables", None)
+        tables = new_tables()
+        for chunk, body in shared["chunks"]:
             k, i = chunk >> 24, (chunk & 0xFFFFFF) << CHUNK_BITS
-            stretch[k][i : i + n] = np.frombuffer(body[: 2 * n], dtype="<f2")
-            if k >= LONG:
-                seen[k - LONG][i : i + n] = np.frombuffer(body[2 * n :], dtype=np.uint8)
-    return Mixer(stretch, seen, weights.astype(np.float32), (refine[0] / refine[1]).astype(np.float32), bits)
+            tables[k][i : i + (1 << CHUNK_BITS)] = unplanes(body).reshape(-1, 2)
+        cache["tables_of"], cache["tables"] = shared["name"], tables
+    return cache["tables"]
+
 
+def _weights(shared):
+    """One row of mass, weights and refinement for each task, moved over all training pairs."""
 
-ROW = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, logs double, score double, h long, times int"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner()
+        for (bodies,) in arrow_rows(batches, "body"):
+            for body in bodies:
+                b = Batch(body).count()
+                for part, (word, bit, h, late) in b.parts(True):
+                    x, gate = b.inputs(assembled(shared.value), bit, h, late, np.ones(len(bit), np.float32))
+                    learner.learn(x, gate, bit, b.times[part].astype(np.float32)[word])
+        if learner.mass:
+            got = np.concatenate([[learner.mass], (learner.model.weights * learner.mass).ravel(), (learner.refine - start_refine()).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([got.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    return run
+
+
+def _chances(shared):
+    """(pair, chance, c, times): log10 of each pair's probability, its word's training count and its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Mixer(*shared.value["model"])
+        for (bodies,) in arrow_rows(batches, "body"):
+            for body in bodies:
+                b = Batch(body).count()
+                chance = np.zeros(len(b.start))
+                for part, (word, bit, h, late) in b.parts(False):
+                    x, gate = b.inputs(assembled(shared.value), bit, h, late, None)
+                    chance[part] = np.bincount(word, weights=model.log10_chance(x, gate, bit), minlength=len(part))
+                _, which = np.unique(b.hashes, return_inverse=True)
+                c = np.bincount(which, weights=b.times).astype(np.int64)[which]
+                yield pa.RecordBatch.from_arrays([pa.array(to_signed(pair_keys(b.hashes, b.classes))), pa.array(chance), pa.array(c), pa.array(b.times)], names=["pair", "chance", "c", "times"])
+
+    return run
+
+
+ROW = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, logs double, score double, pair long, times int"
 
 
 def _score(shared):
+    """A row for each text, with what the head pairs add up to, and a row for each of its other pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without_tables()
         v = shared.value
-        spell, model = speller().spell, v["model"]
         row = TaskContext.get().partitionId() << 33
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32()]
         names = [f.split()[0] for f in ROW.split(", ")]
-        for others, docs in stretches(batches, "doc_id", "held_out", words=2 * STRETCH_WORDS):
+        for others, docs in stretches(batches, "doc_id", "held_out"):
             s, n = Stretch(docs, v["markers"]), len(docs)
-            chance = np.zeros(len(s.start))
-            for i in range(0, len(chance), PART):
-                word, bit, slots = spell(s.flat, s.start[i : i + PART], s.size[i : i + PART], s.classes[i : i + PART], model.bits)
-                x, gate = model.inputs(slots)
-                chance[i : i + PART] = np.bincount(word, weights=model.log10_chance(x, gate, bit), minlength=min(PART, len(chance) - i))
-            score = np.bincount(s.owner, weights=chance[s.pair], minlength=n)
-            at = np.minimum(np.searchsorted(v["head"], s.hashes), max(0, len(v["head"]) - 1))
-            known = v["head"][at] == s.hashes if len(v["head"]) else np.zeros(len(s.hashes), bool)
-            c = np.where(known, v["head_counts"][at] if len(v["head"]) else 0, 0).astype(np.float64)
-            logs = np.bincount(s.doc, weights=np.where(known, np.log10(c + 0.5), 0), minlength=n) + np.log10(v["ends"] + 0.5)
-            n_known = np.bincount(s.doc, weights=known, minlength=n).astype(np.int64) + (v["ends"] > 0)
+            at = np.minimum(np.searchsorted(v["keys"], s.keys), max(0, len(v["keys"]) - 1))
+            head = v["keys"][at] == s.keys if len(v["keys"]) else np.zeros(len(s.keys), bool)
+            of = lambda what, head=head, at=at: np.where(head, v[what][at], 0.0) if len(v["keys"]) else np.zeros(len(head))
+            c = of("c")
+            sums = [np.bincount(s.owner, weights=each[s.pair], minlength=n) for each in (of("chance"), np.where(head, np.log10(c + 0.5), 0), c > 0)]
             size = np.bincount(s.owner, weights=(s.size + 1)[s.pair], minlength=n).astype(np.int64)
             none = lambda k: [None] * k
-            cols = [np.arange(row, row + n), [o[0] for o in others], [o[1] for o in others], s.sizes, size, n_known, logs, score, none(n), none(n)]
+            # A text's own row has a pair of its own, so the rows of all texts are dealt out evenly.
+            mine = to_signed(mix64(np.arange(row, row + n, dtype=np.uint64)))
+            cols = [np.arange(row, row + n), [o[0] for o in others], [o[1] for o in others], s.sizes, size, sums[2].astype(np.int64), sums[1], sums[0], mine, none(n)]
             yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(cols, kinds, strict=True)], names=names)
-            rest = ~known
+            rest = ~head[s.pair]
             if rest.any():
-                pairs = np.stack([s.doc[rest].astype(np.uint64), s.hashes[rest]])
-                order = np.lexsort(pairs[::-1])
-                pairs = pairs[:, order]
-                new = np.concatenate(([True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)))
-                firsts = np.flatnonzero(new)
-                times = np.diff(np.append(firsts, pairs.shape[1]))
-                k = len(firsts)
-                cols = [row + pairs[0, firsts].astype(np.int64), none(k), none(k), none(k), none(k), none(k), none(k), none(k), to_signed(pairs[1, firsts]), times]
-                yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(cols, kinds, strict=True)], names=names)
+                owner, pair = s.owner[rest], s.pair[rest]
+                both, times = np.unique(owner.astype(np.int64) * len(s.keys) + pair, return_counts=True)
+                owner, pair, k = both // len(s.keys), both % len(s.keys), len(both)
+                for i in range(0, k, 200_000):
+                    o, q, m = owner[i : i + 200_000], pair[i : i + 200_000], len(owner[i : i + 200_000])
+                    cols = [row + o, none(m), none(m), none(m), none(m), none(m), none(m), none(m), to_signed(s.keys[q]), times[i : i + m]]
+                    yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(cols, kinds, strict=True)], names=names)
             row += n
 
     return run
@@ -449,36 +620,47 @@ def score(docs: DataFrame, learn: Column, held_out: Column | None = None) -> Dat
     bits_per_byte: the same over its words' bytes and a space for each. base_score: the smoothed unigram
     counts' log10. Words are known by a 64-bit hash. Rows are scored one by one, also where
     doc_ids repeat or are null; equal texts have equal scores up to rounding. Without training rows every turn is
-    even. Other columns are ignored; an empty table gives no rows.
+    even. A very long text is one stretch of its task. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("held_out"), F.coalesce(learn, F.lit(False)).alias("learn"), "text")
-    training = rows.where("learn").select("text")
-    counts = durable(training.mapInArrow(_count, "h long, c long, is_end boolean").groupBy("h", "is_end").agg(F.sum("c").alias("c")), "counts")
+    counts = durable(rows.where("learn").select("text").mapInArrow(_count, "h long, c long, is_end boolean").groupBy("h", "is_end").agg(F.sum("c").alias("c")), "counts")
     sums = counts.agg(F.sum("c").alias("n"), F.sum(F.when(~F.col("is_end"), 1).otherwise(0)).alias("v"), F.sum(F.when(F.col("is_end"), F.col("c")).otherwise(0)).alias("ends")).first()
-    total, ends = sums["n"] or 0, sums["ends"] or 0
-    kinds = (sums["v"] or 0) + (1 if ends else 0)
-    words = counts.where(~F.col("is_end")).select("h", "c")
-    least = 0
-    if kinds > HEAD:  # a count that at most about HEAD words exceed
-        least = words.agg(F.percentile_approx("c", 1 - HEAD / kinds, 100_000)).first()[0]
-    head = words.where(F.col("c") > least).toArrow().combine_chunks()
-    h, c = head["h"].to_numpy().astype(np.int64).view(np.uint64), head["c"].to_numpy()
-    markers = h[np.lexsort((h, -c))[:CLASSES]]
-    order = np.argsort(h)
-    bits = table_bits(kinds)
-    shared = spark.sparkContext.broadcast({"markers": markers, "bits": bits})
+    total, kinds = sums["n"] or 0, (sums["v"] or 0) + (1 if sums["ends"] else 0)
+    top = counts.where(~F.col("is_end")).orderBy(F.col("c").desc(), "h").limit(CLASSES).collect()
+    markers = np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    learnt = training.mapInArrow(_learn(shared), MODEL_SCHEMA).repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_add, MODEL_SCHEMA)
-    model = assemble(((r["chunk"], bytes(r["body"])) for r in learnt.toLocalIterator()), bits)
-    shared = spark.sparkContext.broadcast({"markers": markers, "head": h[order], "head_counts": c[order], "ends": ends, "model": model})
-    scored = durable(rows.select("doc_id", "held_out", "text").mapInArrow(_score(shared), ROW), "scored")
-    rare = scored.where("h is not null").select("row", "h", "times").join(words, "h", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest"))
+    pairs = rows.select("learn", "text").mapInArrow(_pairs(spark.sparkContext.broadcast(markers)), PAIR_SCHEMA)
+    bodies = durable(pairs.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_pack, "body binary"), "pairs")
+    # Tables of fixed size, whatever the corpus.
+    chunks = bodies.mapInArrow(_tables, MODEL_SCHEMA).repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_add, MODEL_SCHEMA)
+    model = {"name": uuid.uuid4().hex, "chunks": [(r["chunk"], bytes(r["body"])) for r in chunks.toLocalIterator()]}
+    weights, refine, mass = np.zeros((GATES, CONTEXTS + 1)), start_refine(), 0.0
+    for r in bodies.mapInArrow(_weights(spark.sparkContext.broadcast(model)), "v array<double>").toLocalIterator():  # a row for each task
+        v = np.array(r["v"])
+        mass += v[0]
+        weights += v[1 : 1 + weights.size].reshape(weights.shape)
+        refine += v[1 + weights.size :].reshape(refine.shape)
+    model["model"] = (weights / mass if mass else start_weights(), (refine[0] / refine[1]).astype(np.float32))
+    chances = durable(bodies.mapInArrow(_chances(spark.sparkContext.broadcast(model)), "pair long, chance double, c long, times long"), "chances")
+    n = chances.count()
+    least = chances.agg(F.percentile_approx("times", 1 - HEAD / n, 100_000)).first()[0] if n > HEAD else -1  # a count that at most about HEAD pairs exceed
+    head = chances.where(F.col("times") > least).toArrow().combine_chunks()
+    keys = head["pair"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast({"markers": markers, "keys": keys[order], "chance": head["chance"].to_numpy()[order], "c": head["c"].to_numpy()[order].astype(np.float64)})
+    scored = rows.select("doc_id", "held_out", "text").mapInArrow(_score(shared), ROW)
+    scored = scored.join(chances.where(F.col("times") <= least).select("pair", "chance", F.col("c").alias("count")), "pair", "left")
     base = float(np.log10(total + 0.5 * (kinds + 1)))
-    return scored.where("h is null").join(rare, "row", "left").select(
+    own, sum_ = F.col("times").isNull(), lambda c: F.sum(F.when(F.col("times").isNull(), F.lit(0)).otherwise(c))
+    each = scored.groupBy("row").agg(
+        *[F.max(F.when(own, F.col(c))).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "logs", "score")],
+        sum_(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("known"), sum_(F.col("times") * F.log10(F.coalesce("count", F.lit(0)) + 0.5)).alias("rest"), sum_(F.col("times") * F.coalesce("chance", F.lit(0.0))).alias("more"),
+    )
+    score_ = F.col("score") + F.coalesce("more", F.lit(0.0))
+    return each.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        (F.col("logs") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * F.lit(base)).alias("base_score"), score_.alias("score"), (-score_ * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 
