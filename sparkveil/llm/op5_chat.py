@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from .common import durable, table
 
-BLOCK = 256  # turns that are put in order, and rendered, together
+BLOCK = 256  # turn numbers that are put in order together, and turns that are rendered together
 _HALF = (1 << 31) - 1
 
 
@@ -67,17 +67,17 @@ def render_turn(role: Column, text: Column) -> Column:
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, copies, part_turns, rendered) of the maximal conversations.
 
-    A conversation is rendered in parts of one block of turns each; parts are numbered from 0 and,
-    joined in order, are the whole chat. An empty table gives an empty result.
+    A conversation is rendered in parts of BLOCK turns by their place, whatever their numbers; parts are numbered
+    from 0 and, joined in order, are the whole chat. Other columns of turns are ignored; rows that repeat wholly count once,
+    rows of one turn that differ are turns of their own. An empty table gives an empty result.
     """
     hashed = durable(prefix_hashes(turns), "prefixes")
-    parts = (
+    return (
         hashed.join(maximal(hashed), "conv_id")
-        .groupBy("conv_id", "n_turns", "copies", "block")
+        .groupBy("conv_id", F.floor((F.col("pos") - 1) / BLOCK).cast("int").alias("part"), "n_turns", "copies")
         .agg(F.count(F.lit(1)).alias("part_turns"), F.array_sort(F.collect_list(F.struct("pos", render_turn(F.col("role"), F.col("text")).alias("turn")))).alias("turns"))
+        .select("conv_id", "part", F.col("n_turns").cast("long").alias("n_turns"), F.col("copies").cast("long").alias("copies"), "part_turns", F.concat_ws("", "turns.turn").alias("rendered"))
     )
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("block")) - 1
-    return parts.select("conv_id", number.cast("int").alias("part"), F.col("n_turns").cast("long").alias("n_turns"), F.col("copies").cast("long").alias("copies"), "part_turns", F.concat_ws("", "turns.turn").alias("rendered"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +88,7 @@ OP5_SQL = """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
 ), o AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
-         CAST(coalesce(floor(turn / 256), -1) AS BIGINT) AS block FROM t
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM t
 ), p AS (
   SELECT conv_id, pos, string_agg(md5(coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n')), '') OVER (
            PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sofar
@@ -101,8 +100,8 @@ WITH t AS (
   SELECT conv_id, pos AS n_turns, copies FROM w
   WHERE sofar NOT IN (SELECT p.sofar FROM p JOIN e USING (conv_id) WHERE p.pos < e.pos)
 )
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY block) - 1 AS INTEGER) AS part,
+SELECT conv_id, CAST((o.pos - 1) // 256 AS INTEGER) AS part,
        CAST(n_turns AS BIGINT) AS n_turns, CAST(copies AS BIGINT) AS copies, CAST(count(*) AS BIGINT) AS part_turns,
-       string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered
-FROM m JOIN o USING (conv_id) GROUP BY conv_id, n_turns, copies, block
+       string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY o.pos) AS rendered
+FROM m JOIN (SELECT conv_id, pos, role, text FROM o) o USING (conv_id) GROUP BY conv_id, n_turns, copies, part
 """
