@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import durable, table
 
 SCALE = 1024
-QUERY_BLOCK = 2048  # queries that are sent to the executors at once
+QUERY_BLOCK = 32_768  # queries that are sent to the executors at once
 VECTOR_BLOCK = 8192  # rows that have sorted lists of their own
-DEPTHS = (32, 8, 2, 1)  # lists are read to 1/32, 1/8, 1/2 and all of their length, as far as needed
+DEPTHS = (64, 32, 16, 8, 4, 2, 1)  # lists are read to these parts of their length, as far as needed
+RESOLVE = 64  # rows of a block that may still qualify when reading stops; their scores are resolved
 _SAFE = 1 << 22  # beyond this size of a component, products are taken with Python's integers
 
 
@@ -77,7 +78,7 @@ class Lists:
             if len(open_) > k:
                 mark = max(mark, np.partition(low[open_], len(open_) - k)[len(open_) - k])
             open_ = open_[high[open_] >= mark - 1 - 1e-9 * abs(mark)]
-            if len(open_) <= max(k, n // 8) or to == n:  # few enough to resolve
+            if len(open_) <= max(k, RESOLVE) or to == n:  # no other row can qualify
                 break
         return open_
 
@@ -135,7 +136,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     queries: a condition on vec_id that says which rows are queries. Queries go out in blocks of at
     most query_block rows, so what is sent at once has a fixed size; each block is held against all
     rows, each row block giving at most k rows for a query. Ties go to the smaller vec_id. A query's
-    own row (its vec_id) is no candidate. Vectors with null or non-finite parts, and rows without id,
+    own row (its vec_id) is no candidate. Other columns are ignored; an empty table gives no rows. Vectors with null or non-finite parts, and rows without id,
     take no part; vectors of unequal length are filled with 0. Of rows with one vec_id, queries take
     the first by value; each is a candidate of its own. Scores beyond 64 bits are set to the limit.
     """
@@ -152,6 +153,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
         xs = [r["x"] for r in part]
         q = integers(xs, max(len(x) for x in xs))
         one = rows.mapInArrow(_search((ids, q), k, vector_block), "query_id long, vec_id long, score long")
+        if found is not None or len(part) == query_block:
+            one = durable(one, "found")  # the plan does not grow with the queries
         found = one if found is None else found.union(one)
         if len(part) < query_block:
             break
