@@ -89,11 +89,12 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, powers: dict[st
     targets takes its present shares to its power (0.5 for sources, 0.7 otherwise). A null source or
     language is a value of its own. Documents without words have no weight to give: they are kept with
     the probability `keep`. The draw is a hash of seed and doc_id, so rows that share a doc_id stay or
-    go together, and any run draws alike. An empty table gives no rows. More than MAX_CELLS cells are an error.
+    go together, and any run draws alike. Columns of docs named mix_* as these four are replaced, all others stay. An empty
+    table gives no rows. More than MAX_CELLS cells are an error.
     """
     spark = docs.sparkSession
     kind = topic(F.col("text")) if topics is None else topics
-    rows = docs.withColumns({"mix_tokens": token_count(F.col("text")), "mix_topic": kind})
+    rows = docs.drop("mix_probability", "mix_kept").withColumns({"mix_tokens": token_count(F.col("text")), "mix_topic": kind})
     cells = rows.groupBy("source", "lang", F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("mass"))
     got = cells.limit(MAX_CELLS + 1).collect()
     if len(got) > MAX_CELLS:
@@ -111,10 +112,11 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, powers: dict[st
             shares = (targets or {}).get(name) or tempered(dict(zip(values[d], sums, strict=True)), (powers or {}).get(name, 0.5 if name == "source" else 0.7))
             wanted.append(np.array([shares.get(v, 0.0) for v in values[d]]))
         p = np.where(mass > 0, probabilities(mass, rake(mass, index, wanted), keep), keep)
-    plan = spark.createDataFrame([(*[r[d] for d in DIMS], float(q)) for r, q in zip(got, p, strict=True)], "_source string, _lang string, _topic string, mix_probability double")
-    on = F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("mix_topic").eqNullSafe(F.col("_topic"))
+    own = [f"_mix_{d}" + "_" * max(map(len, docs.columns)) for d in DIMS]  # longer than any column of docs
+    plan = spark.createDataFrame([(*[r[d] for d in DIMS], float(q)) for r, q in zip(got, p, strict=True)], ", ".join([*[f"{n} string" for n in own], "mix_probability double"]))
+    on = F.col("source").eqNullSafe(F.col(own[0])) & F.col("lang").eqNullSafe(F.col(own[1])) & F.col("mix_topic").eqNullSafe(F.col(own[2]))
     draw = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    return rows.join(F.broadcast(plan), on).drop("_source", "_lang", "_topic").withColumn("mix_kept", (draw < F.col("mix_probability")) | (F.col("mix_tokens") == 0) & (draw < keep))
+    return rows.join(F.broadcast(plan), on).drop(*own).withColumn("mix_kept", (draw < F.col("mix_probability")) | (F.col("mix_tokens") == 0) & (draw < keep))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
