@@ -20,11 +20,13 @@ BLOOM_BITS = 1 << 26  # 8 MB
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where it is unset (tests) a local one is set."""
+    """The shared folder of spark.checkpoint.dir; only on a local master (tests) a folder of this machine is set where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(spark.sparkContext, "_sparkveil_scratch", None)
         if root is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="sparkveil-")
             spark.sparkContext._sparkveil_scratch = root
             spark.sparkContext.setCheckpointDir(root)
