@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,20 +15,41 @@ from sparkveil.functions.rules import ALIASES, PATTERNS, POLICIES
 CONTEXT = 30
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs dealt out over the cores where the scan has fewer partitions than that (a file of one row group); else as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    scanned = len(docs.inputFiles()) if docs.inputFiles() else cores
+    return docs.repartition(cores) if scanned < cores else docs
+
+
+def _compiled(rules: list[tuple[str, str, bool]]) -> list[tuple[int, str, re.Pattern]]:
+    return [(k, name, re.compile(p, re.I if i else 0)) for k, (name, p, i) in enumerate(rules)]
+
+
+def _find(rules: list[tuple[str, str, bool]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = _compiled(rules)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = [(i, k, name, *m.span(), m.group(), t[max(0, m.start() - CONTEXT) : m.end() + CONTEXT]) for i, t in enumerate(part.column(1).to_pylist()) if t for k, name, p in compiled for m in p.finditer(t)]
+                if rows:
+                    i, *cols = zip(*rows, strict=True)
+                    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["key", "ord", "phi_type", "start", "end", "text", "context"])
+
+    return run
+
+
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", patterns: list[tuple[str, str, bool]] | None = None, base: float = 0.6) -> DataFrame:
-    """(key, ord, phi_type, start, end, text, context, base): one scan of the text for all patterns, one explode.
+    """(key, ord, phi_type, start, end, text, context, base): one pass over each text for all patterns, in Arrow batches.
 
     Null texts give no rows. ord numbers the patterns; context is the span with 30 characters on either side.
     """
-    rules = PATTERNS if patterns is None else patterns
-
-    def named(k: int, name: str):
-        return lambda s: F.struct(F.lit(k).alias("ord"), F.lit(name).alias("phi_type"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("span"))
-
-    found = [F.transform(X.spans(F.col(text), X.pattern(p, i)), named(k, name)) for k, (name, p, i) in enumerate(rules)]
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"), F.explode(F.concat(*found)).alias("d"))
-    first = F.greatest(F.lit(0), F.col("d.start") - CONTEXT)
-    return rows.select(key, "d.ord", "d.phi_type", "d.start", "d.end", F.col("d.span").alias("text"), F.substr("_text", first + 1, F.col("d.end") + CONTEXT - first).alias("context"), F.lit(base).alias("base"))
+    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")))
+    kind = rows.schema["key"].dataType.simpleString()
+    found = rows.mapInArrow(_find(PATTERNS if patterns is None else patterns), f"key {kind}, ord int, phi_type string, start int, end int, text string, context string")
+    return found.withColumnRenamed("key", key).withColumn("base", F.lit(base))
 
 
 def score(found: DataFrame) -> DataFrame:
@@ -53,6 +78,78 @@ def merge(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, F.explode(kept).alias("k")).select(key, "k.*")
 
 
+def fold(found: list[tuple[int, int, int, str, str]]) -> list[tuple[int, int, str, str, int]]:
+    """The greedy merge of one text's spans (ord, start, end, type, text) of equal confidence: (start, end, type, text, merged).
+
+    Spans that overlap lie in one chain of overlaps; each chain is folded by itself, so the work grows with the chains' sizes.
+    """
+    out: list[list] = []
+    chain: list[tuple[int, int, int, str, str]] = []
+    reach = -1
+
+    def close() -> None:
+        kept: list[list] = []
+        for order, s, e, name, t in sorted(chain):
+            hit = next((k for k in kept if k[0] < e and s < k[1]), None)
+            if hit:
+                hit[0], hit[1], hit[4] = min(hit[0], s), max(hit[1], e), hit[4] + 1
+            else:
+                kept.append([s, e, name, t, 0, order, s])
+        out.extend(kept)
+        chain.clear()
+
+    for span in sorted(found, key=lambda f: (f[1], f[2])):
+        if span[1] >= reach and chain:
+            close()
+        chain.append(span)
+        reach = max(reach, span[2])
+    close()
+    return [tuple(k[:5]) for k in out]
+
+
+def _merge_rows(rules: list[tuple[str, str, bool]], clear: bool):
+    """Each text with its merged spans; clear: only those that begin where the last one has ended, and the text between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = _compiled(rules)
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("phi_type", pa.string()), ("text", pa.string()), ("merged", pa.int32()), ("value", pa.string()), ("before", pa.string())]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part, out, rest = batch.slice(at, 500), [], []
+                for t in part.column(1).to_pylist():
+                    merged = fold([(k, *m.span(), name, m.group()) for k, name, p in compiled for m in p.finditer(t)]) if t else []
+                    last, spans, previous = 0, [], 0
+                    for s, e, name, found, n in sorted(merged):
+                        if clear and s < previous:
+                            previous = e
+                            continue
+                        spans.append({"start": s, "end": e, "phi_type": name, "text": found, "merged": n, "value": t[s:e], "before": t[last:s] if clear else None})
+                        last = previous = e
+                    out.append(spans)
+                    rest.append(None if t is None else t[last:] if clear else "")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, span), pa.array(rest, pa.string())], names=["key", "spans", "rest"])
+
+    return run
+
+
+def merge_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", patterns: list[tuple[str, str, bool]] | None = None, clear: bool = False) -> DataFrame:
+    """(key, spans, rest) of every row: detected and merged in one pass, with no shuffle; as merge(detect(docs)) of each row by itself."""
+    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    kind = rows.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, spans array<struct<start:int,end:int,phi_type:string,text:string,merged:int,value:string,before:string>>, rest string"
+    return rows.mapInArrow(_merge_rows(PATTERNS if patterns is None else patterns, clear), schema).withColumnRenamed("key", key)
+
+
+def anonymise_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", patterns: list[tuple[str, str, bool]] | None = None, mode: str = "intended") -> DataFrame:
+    """(key, n_spans, anonymized_text) of every row: as anonymise() of its own detections, without joins; a null text stays null.
+
+    A widened span that begins before its predecessor's end is left as it is.
+    """
+    rows = merge_documents(docs, key, text, patterns, clear=True)
+    parts = F.transform("spans", lambda s: F.concat(s["before"], X.apply_policy(entity(s["phi_type"], mode), s["value"])))
+    return rows.select(key, F.size("spans").alias("n_spans"), F.concat(F.array_join(parts, ""), F.col("rest")).alias("anonymized_text"))
+
+
 def entity(kind: Column, mode: str = "intended") -> Column:
     """Policy entity of an identifier type: by the alias table, or (as_written) its upper-case name."""
     upper = F.upper(kind)

@@ -99,13 +99,14 @@ def type_coverage(spark, d):
 @query()
 def merged_spans(spark, d):
     """Greedy overlap merge."""
-    return D.merge(D.detect(docs(spark, d)))
+    merged = D.merge_documents(docs(spark, d))
+    return merged.select("doc_id", F.explode("spans").alias("k")).select("doc_id", "k.start", "k.end", "k.phi_type", "k.text", "k.merged")
 
 
 @query()
 def anonymized_documents(spark, d):
     """Flagship: detect, merge, policy, mask or replace, rebuild."""
-    return D.anonymise(docs(spark, d), D.detect(docs(spark, d)))
+    return D.anonymise_documents(docs(spark, d))
 
 
 ENTITY_SQL = "CASE phi_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items()) + " ELSE upper(phi_type) END"
@@ -173,12 +174,12 @@ def span_boxes(spark, d):
 
 REGIONS = f"""{WORDS}, r AS (
   SELECT doc_id, word_id // 3 AS region_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(((doc_id * 31 + word_id // 3 * 17) % 100) / 100.0::DOUBLE, 2) AS confidence, string_agg(word, ' ' ORDER BY word_id) AS text
-  FROM wb WHERE word_id < 60 GROUP BY doc_id, word_id // 3
+  FROM wb GROUP BY doc_id, word_id // 3
 )"""
 
 
 def regions(spark, d):
-    """Three words to a region, over the whole page; confidences by a fixed rule. REGIONS, the SQL twin, still stops at word 60."""
+    """Three words to a region, over the whole page; confidences by a fixed rule."""
     w = L.words(docs(spark, d).where("text is not null")).withColumn("region_id", F.floor(F.col("word_id") / 3).cast("int"))
     r = w.groupBy("doc_id", "region_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "word"))), lambda s: s["word"]), " ").alias("text"))
     return r.withColumn("confidence", F.round(((F.col("doc_id") * 31 + F.col("region_id") * 17) % 100) / 100.0, 2))
@@ -257,13 +258,13 @@ def redacted_log(spark, d):
     return docs(spark, d).select("doc_id", F.regexp_replace("text", "(?i)" + REDACT, "[REDACTED_PHI]").alias("message"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AS has_number, contains(text, '/home/') OR contains(text, '/Users/') AS has_path FROM documents")
+@query("SELECT doc_id, regexp_matches(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AS has_number, contains(text, '/home/') OR contains(text, '/Users/') OR contains(text, 'C:\\Users\\') AS has_path FROM documents")
 def commit_scan(spark, d):
     """number and path scans before a commit."""
     return docs(spark, d).select("doc_id", F.col("text").rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}").alias("has_number"), (F.col("text").contains("/home/") | F.col("text").contains("/Users/") | F.col("text").contains("C:\\Users\\")).alias("has_path"))
 
 
-@query("SELECT page_id, regexp_matches(lower(url), '[.](pdf|png|jpe?g|tiff)$') AS supported, CASE WHEN contains(lower(url), 'ct') THEN 'CT' WHEN contains(lower(url), 'mri') THEN 'MRI' ELSE 'other' END AS modality FROM pages")
+@query("SELECT page_id, regexp_matches(lower(url), '[.](pdf|png|jpe?g|tiff)$') AS supported, CASE WHEN contains(lower(url), 'xray') OR contains(lower(url), 'chest') THEN 'X-RAY' WHEN contains(lower(url), 'ct') THEN 'CT' WHEN contains(lower(url), 'mri') THEN 'MRI' WHEN contains(lower(url), 'ultrasound') OR contains(lower(url), 'us_') THEN 'ULTRASOUND' ELSE 'other' END AS modality FROM pages")
 def page_kinds(spark, d):
     """Supported names and image types by name."""
     low = F.lower("url")
