@@ -64,3 +64,34 @@ ALIASES = {
     "medical_record_numbers": "MRN_MEDICAL_RECORD_NUMBER", "account_numbers": "BANK_ACCOUNT", "certificate_license_numbers": "LICENSE_NUMBER", "device_identifiers": "DEVICE_ID", "biometric_identifiers": "BIOMETRIC",
     "full_face_photos": "FULL_FACE_PHOTO", "geographic_locations": "ADDRESS", "names": "NAME", "other_unique_identifiers": "OTHER_UNIQUE_IDENTIFIER",
 }
+
+# Further pattern sets, by name: patterns that ignore case are marked.
+PATTERN_SETS: dict[str, list[tuple[str, str, bool]]] = {
+    "builtin": [
+        ("builtin_0", r"\b\d{3}-\d{2}-\d{4}\b", True),
+        ("builtin_1", r"\b\+?\d{1,3}[ -]?\(?\d{2,3}\)?[ -]?\d{3}[ -]?\d{4}\b", True),
+        ("builtin_2", r"[A-Z][a-z]+\s+[A-Z][a-z]+", True),
+    ],
+    "minimal": [("name", r"[A-Z][a-z]+ [A-Z][a-z]+", False), ("mrn", r"MRN[-\s]?\d{6,}", False), ("ssn", r"\d{3}[-\s]?\d{2}[-\s]?\d{4}", False), ("phone", r"\d{3}[-\s]?\d{3}[-\s]?\d{4}", False)],
+    "fallback": [("name", r"[A-Z][a-z]+ [A-Z][a-z]+", False), ("mrn", r"MRN[-\s]?\d{4,}", False), ("ssn", r"\d{3}[-\s]?\d{2}[-\s]?\d{4}", False), ("phone", r"\d{3}[-\s]?\d{3}[-\s]?\d{4}", False)],
+    "verification": [
+        ("SSN", r"\b\d{3}-\d{2}-\d{4}\b", False),
+        ("PHONE", r"\(\d{3}\)\s*\d{3}[- ]?\d{4}|\b\d{3}-\d{3}-\d{4}\b", False),
+        ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", False),
+        ("NAME_SIMPLE", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+(?:\s*[A-Z]\.)?\b", False),
+    ],
+}
+
+# Labels of a recogniser and the identifier types they stand for.
+LABELS = {"person": "names", "per": "names", "date": "dates", "gpe": "geographic_locations", "loc": "geographic_locations", "email": "email_addresses"}
+
+# Abbreviations that are written out, and words by which a text counts as clinical.
+ABBREVIATIONS = {"BP": "blood pressure", "HR": "heart rate", "DOB": "date of birth"}
+CLINICAL = ["blood", "pressure", "heart", "rate", "dose", "mg", "ml", "dob", "bp", "hr"]
+
+# Keys whose values no record may show, and the ranks of roles.
+HIDDEN_KEYS = ["text", "raw", "image", "phi", "ocr_text", "page_image"]
+ROLES = {"user": 1, "service_account": 2, "admin": 3}
+
+# Confidences of the detectors of single types.
+DETECTOR_CONFIDENCE = {"phone_numbers": 0.92, "geographic_locations": 0.8, "email_addresses": 0.98, "urls": 0.92, "device_identifiers": 0.85, "names": 0.6}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import POLICIES, THRESHOLD, THRESHOLDS
+from .rules import ABBREVIATIONS, DETECTOR_CONFIDENCE, POLICIES, THRESHOLD, THRESHOLDS
 
 
 def pattern(regex: str, ignore_case: bool = False) -> str:
@@ -102,13 +102,39 @@ def overlap_of_smaller(a: list[Column], b: list[Column]) -> Column:
     return F.when(least > 0, inter / least).otherwise(0.0)
 
 
+# Types that a text is classified by, the first that finds something, and their confidences.
+CLASSES = [("social_security_numbers", 0.99), ("email_addresses", 0.98), ("phone_numbers", 0.95), ("urls", 0.9), ("ip_addresses", 0.9), ("medical_record_numbers", 0.98), ("device_identifiers", 0.85), ("full_face_photos", 0.6)]
+
+
 def classify(text: Column) -> Column:
     """Type of a text by the first rule that finds something in it, as `type|confidence`."""
     from .rules import PATTERNS
 
     rule = {name: pattern(p, i) for name, p, i in PATTERNS}
-    order = [("social_security_numbers", 0.99), ("email_addresses", 0.98), ("phone_numbers", 0.95), ("urls", 0.9), ("ip_addresses", 0.9), ("medical_record_numbers", 0.98), ("device_identifiers", 0.85), ("full_face_photos", 0.6)]
     out = F.lit("other|0.4")
-    for name, c in reversed(order):
+    for name, c in reversed(CLASSES):
         out = F.when(text.rlike(rule[name]), f"{name}|{c}").otherwise(out)
     return F.when(F.coalesce(text, F.lit("")) == "", "other|0.0").otherwise(out)
+
+
+def typed_confidence(kind: Column, value: Column) -> Column:
+    """Confidence of the detector of a single type."""
+    out = F.when(kind == "medical_record_numbers", F.when(value.rlike("^[0-9A-Za-z-]{6,12}$"), 0.95).otherwise(0.6))
+    out = out.when(kind == "social_security_numbers", F.when(value.rlike("^0{3}-0{2}-0{4}"), 0.5).otherwise(0.99))
+    out = out.when(kind == "dates", F.when(value.rlike(pattern(r"\b(?:19|20)\d{2}\b")) & (F.length(value) >= 8), 0.95).otherwise(0.9))
+    for name, c in DETECTOR_CONFIDENCE.items():
+        out = out.when(kind == name, c)
+    return out
+
+
+def clinical_text(text: Column) -> Column:
+    """Common misreadings mended (a nought beside letters, a one, a curly apostrophe), white space collapsed, abbreviations written out."""
+    mended = F.replace(F.replace(F.when(text.rlike("\\p{L}"), F.replace(text, F.lit("0"), F.lit("O"))).otherwise(text), F.lit("1"), F.lit("I")), F.lit("\u2019"), F.lit("'"))
+    words = F.filter(F.split(mended, r"\s+"), lambda w: w != "")
+    full = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(full, F.upper(w)), w)), " ")
+
+
+def distinct_words(text: Column) -> Column:
+    """Lower-cased words without punctuation at their ends, each once."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: F.btrim(F.lower(w), F.lit(".,;:'\"()"))))

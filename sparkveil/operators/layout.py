@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from sparkveil.functions.text import overlap_of_smaller
 
+STRIDE = 512  # characters of a piece of text in which spans and words meet
 LINE = 12  # height of the bands in which boxes are paired
 
 
@@ -26,11 +27,32 @@ def words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return rows.withColumns({"x1": x, "y1": y, "x2": x + F.length("word") * 8, "y2": y + 10})
 
 
+def overlapping(found: DataFrame, boxes: DataFrame, key: str = "doc_id", how: str = "left") -> DataFrame:
+    """found joined with the words of its document that each span overlaps.
+
+    Both are dealt out by document and by pieces of STRIDE characters, so a long document is no single key and no span meets all
+    its words; of the pieces that a span and a word share, the first one has the pair.
+    """
+    first, last = F.floor(F.col("start") / STRIDE), F.floor(F.greatest("start", F.col("end") - 1) / STRIDE)
+    spans = found.withColumn("_first", first).withColumn("_piece", F.explode(F.sequence(first, last)))
+    b = boxes.select(F.col(key).alias("_key"), *[c for c in boxes.columns if c != key]).withColumn("_start", F.floor(F.col("start_char") / STRIDE))
+    b = b.withColumn("_at", F.explode(F.sequence(F.col("_start"), F.floor(F.greatest("start_char", F.col("end_char") - 1) / STRIDE))))
+    on = (F.col(key) == F.col("_key")) & (F.col("_piece") == F.col("_at")) & (F.col("start") < F.col("end_char")) & (F.col("start_char") < F.col("end")) & (F.col("_piece") == F.greatest("_first", "_start"))
+    return spans.join(b, on, how).drop("_first", "_piece", "_start", "_at")
+
+
 def span_boxes(found: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Union box of the words that each span overlaps; spans without any have null boxes."""
-    b = boxes.select(F.col(key).alias("_key"), "start_char", "end_char", "x1", "y1", "x2", "y2")
-    on = (F.col(key) == F.col("_key")) & (F.col("start") < F.col("end_char")) & (F.col("start_char") < F.col("end"))
-    return found.join(b, on, "left").groupBy(key, "phi_type", "start", "end").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("_key").alias("n_words"))
+    return overlapping(found, boxes, key).groupBy(key, "phi_type", "start", "end").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("_key").alias("n_words"))
+
+
+def detection_regions(found: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, phi_type, text, region_id, start, x1, y1, x2, y2): each detection's box in each region that holds words of it.
+
+    boxes: words with their region_id. Detections of one type, text and box are one, the first by region and place.
+    """
+    rows = overlapping(found, boxes, key, "inner").groupBy(key, "phi_type", "text", "start", "end", "region_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    return rows.groupBy(key, "phi_type", "text", "x1", "y1", "x2", "y2").agg(F.min(F.struct("region_id", "start")).alias("f")).select(key, "phi_type", "text", "f.region_id", "f.start", "x1", "y1", "x2", "y2")
 
 
 def merge_regions(regions: DataFrame, page: str, threshold: float = 0.5) -> DataFrame:

@@ -14,7 +14,7 @@ from sparkveil.operators import detect as D
 from sparkveil.operators import layout as L
 from sparkveil.streaming import stateful as S
 
-from .sqlparts import spans_sql
+from .sqlparts import PLAIN, spans_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,19 +96,21 @@ def type_coverage(spark, d):
     return types.join(F.broadcast(n), "phi_type", "left").select("phi_type", (F.coalesce("n", F.lit(0)) > 0).alias("covered"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query()
+#: Lists of one span each, folded from left to right: a span widens the first kept one that it overlaps, or is kept.
+HIT = "list_position(list_transform(a, lambda k: k.s < x[1].e AND x[1].s < k.e), true)"
+MERGED = f"""{FOUND}, o AS (SELECT doc_id, list([{{'s': start, 'e': "end", 't': phi_type, 'x': text, 'm': 0}}] ORDER BY ord, start, "end") AS l FROM f GROUP BY doc_id
+), k AS (SELECT doc_id, unnest(list_reduce(l, lambda a, x: CASE WHEN {HIT} > 0
+  THEN list_transform(a, lambda k, i: CASE WHEN i = {HIT} THEN {{'s': least(k.s, x[1].s), 'e': greatest(k.e, x[1].e), 't': k.t, 'x': k.x, 'm': k.m + 1}} ELSE k END) ELSE list_concat(a, x) END)) AS k FROM o
+), merged AS (SELECT doc_id, k.s AS start, k.e AS "end", k.t AS phi_type, k.x AS text, CAST(k.m AS INTEGER) AS merged FROM k)"""
+
+
+@query(f"WITH {MERGED} SELECT * FROM merged")
 def merged_spans(spark, d):
     """Greedy overlap merge."""
     merged = D.merge_documents(docs(spark, d))
     return merged.select("doc_id", F.explode("spans").alias("k")).select("doc_id", "k.start", "k.end", "k.phi_type", "k.text", "k.merged")
 
 
-@query()
-def anonymized_documents(spark, d):
-    """Flagship: detect, merge, policy, mask or replace, rebuild."""
-    return D.anonymise_documents(docs(spark, d))
-
-
 ENTITY_SQL = "CASE phi_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items()) + " ELSE upper(phi_type) END"
 POLICY_SQL = "p AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{t}', '{o}', '{p.get('masking_char', '')}', {p.get('chars_to_mask', 0)}, {p.get('from_end', 'false')}, '{p.get('new_value', '')}')" for e, t, o, p in POLICIES) + ") v(entity, tier, operator, ch, n, from_end, new_value))"
 #: Digits masked one by one: those whose number from the masked side is at most n.
@@ -118,6 +120,19 @@ ELSE array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE W
   AND (CASE WHEN from_end THEN length(regexp_replace(substr(text, i), '[^0-9]', '', 'g')) ELSE length(regexp_replace(substr(text, 1, i), '[^0-9]', '', 'g')) END) <= n THEN ch ELSE text[i] END), '') END"""
 
 
+@query(f"""WITH {MERGED}, {POLICY_SQL}, c AS (
+  SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start, "end"), 0) <= start AS clear FROM merged
+), v AS (
+  SELECT c.doc_id, c.start, c."end", d.text AS whole, substr(d.text, c.start + 1, c."end" - c.start) AS text, {ENTITY_SQL} AS entity, coalesce(lag(c."end") OVER (PARTITION BY c.doc_id ORDER BY c.start), 0) AS last
+  FROM c JOIN documents d USING (doc_id) WHERE clear
+), r AS (SELECT v.*, {MASK_SQL} AS new FROM v LEFT JOIN p ON v.entity = p.entity), g AS (
+  SELECT doc_id, count(*) AS n, string_agg(substr(whole, last + 1, start - last) || new, '' ORDER BY start) || substr(any_value(whole), max("end") + 1) AS t FROM r GROUP BY doc_id
+) SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_spans, coalesce(t, d.text) AS anonymized_text FROM documents d LEFT JOIN g USING (doc_id)""".replace("'[REDACTED_' || entity", "'[REDACTED_' || v.entity"))
+def anonymized_documents(spark, d):
+    """Flagship: detect, merge, policy, mask or replace, rebuild."""
+    return D.anonymise_documents(docs(spark, d))
+
+
 @query(f"WITH {FOUND}, {POLICY_SQL}, e2 AS (SELECT *, {ENTITY_SQL} AS entity FROM f) SELECT doc_id, {SPAN}, e2.entity, coalesce(tier, 'none') AS tier, {MASK_SQL} AS replacement FROM e2 LEFT JOIN p ON e2.entity = p.entity".replace("'[REDACTED_' || entity", "'[REDACTED_' || e2.entity"))
 def span_replacements(spark, d):
     """Policy of each detection and what replaces it."""
@@ -132,7 +147,14 @@ def normalised_turns(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", X.normalised(F.col("text")).alias("text"))
 
 
-@query()
+def _classify_sql() -> str:
+    rule = {name: ("(?i)" if i else "") + p.replace("'", "''") for name, p, i in PATTERNS}
+    whens = " ".join(f"WHEN regexp_matches(u, '{rule[name]}') THEN '{name}|{c}'" for name, c in X.CLASSES)
+    return f"""WITH t AS (SELECT conv_id, turn, text, {PLAIN.format(text='text')} AS u FROM conversations), c AS (SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN 'other|0.0' {whens} ELSE 'other|0.4' END AS c FROM t)
+SELECT conv_id, turn, split_part(c, '|', 1) AS phi_type, CAST(split_part(c, '|', 2) AS DOUBLE) AS confidence FROM c"""
+
+
+@query(_classify_sql())
 def classified_turns(spark, d):
     """Type and confidence of each turn by the first rule that finds something."""
     c = F.split(X.classify(F.col("text")), r"\|")
@@ -195,7 +217,13 @@ def region_overlaps(spark, d):
     return L.region_pairs(regions(spark, d), "doc_id").select("doc_id", F.col("a_region_id").cast("int").alias("a"), F.col("b_region_id").cast("int").alias("b"), F.round("overlap", 6).alias("overlap"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {REGIONS}, p AS (
+  SELECT a.doc_id, a.region_id AS a, b.region_id AS b FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.region_id <> b.region_id AND a.y1 < b.y2 AND b.y1 < a.y2
+  WHERE least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) > 0
+    AND greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1))::DOUBLE >= 0.5
+), c AS (SELECT doc_id, region_id AS a, region_id AS b FROM r UNION SELECT c.doc_id, c.a, p.b FROM c JOIN p ON c.doc_id = p.doc_id AND c.b = p.a
+), l AS (SELECT doc_id, a AS region_id, min(b) AS g FROM c GROUP BY ALL), j AS (SELECT r.*, g FROM r JOIN l USING (doc_id, region_id))
+SELECT doc_id, CAST(first(region_id ORDER BY confidence DESC, region_id) AS BIGINT) AS region_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, max(confidence) AS confidence, bool_and(confidence < 0.5) AS low_confidence, count(*) AS merged FROM j GROUP BY doc_id, g""")
 def merged_regions(spark, d):
     """Regions joined by overlap."""
     return L.merge_regions(regions(spark, d).withColumn("low_confidence", F.col("confidence") < 0.5), "doc_id", 0.5)
@@ -218,10 +246,10 @@ def threshold_buckets(spark, d):
     return regions(spark, d).agg(F.array(*[hit(t) for t in (0.1, 0.3, 0.5, 0.7, 0.9)]).alias("a")).select(F.inline("a"))
 
 
-@query(f"WITH {REGIONS} SELECT doc_id, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, round(avg((x2 - x1) * (y2 - y1)), 6) AS avg_area, round(stddev_pop(confidence), 6) AS std_confidence FROM r GROUP BY doc_id")
+@query(f"WITH {REGIONS} SELECT doc_id, count(*) AS n, round(avg(confidence), 9) AS avg_confidence, round(avg((x2 - x1) * (y2 - y1)), 6) AS avg_area, round(stddev_pop(confidence), 9) AS std_confidence FROM r GROUP BY doc_id")
 def region_statistics(spark, d):
     """Count, mean confidence and area, population deviation."""
-    return regions(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.round(F.avg((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), 6).alias("avg_area"), F.round(F.stddev_pop("confidence"), 6).alias("std_confidence"))
+    return regions(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 9).alias("avg_confidence"), F.round(F.avg((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), 6).alias("avg_area"), F.round(F.stddev_pop("confidence"), 9).alias("std_confidence"))
 
 
 @query(f"WITH {REGIONS} SELECT doc_id, region_id, text, confidence FROM r WHERE confidence BETWEEN 0.4 AND 0.7")
@@ -310,13 +338,27 @@ def trailing_counts(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", "event_type", F.count(F.lit(1)).over(w).alias("recent"))
 
 
-@query()
+def state_sql(key: str, extra: str, state: str, step: str, flag: str) -> str:
+    """A state machine over each key's rows in order: lists of one state each, folded from left to right; o holds the decisions."""
+    return f"""WITH e AS (SELECT event_id, {key} AS key, epoch(ts) AS t, {extra} AS failed FROM events WHERE ts IS NOT NULL), g AS (
+  SELECT key, list(event_id ORDER BY t, event_id) AS ids, list({state} ORDER BY t, event_id) AS s FROM e GROUP BY key
+), r AS (SELECT key, ids, list_reduce(s, lambda a, x: {step}) AS z FROM g)
+SELECT unnest(ids) AS event_id, key, unnest(z.o) AS {flag} FROM r"""
+
+
+KEPT = "list_filter(a.h, lambda k: x.h[1] - k < 86400)"
+
+
+@query(state_sql("user_id || ':' || event_type", "false", "{'h': [t], 'o': [true]}", f"CASE WHEN len({KEPT}) < 3 THEN {{'h': list_append({KEPT}, x.h[1]), 'o': list_append(a.o, true)}} ELSE {{'h': {KEPT}, 'o': list_append(a.o, false)}} END", "accepted"))
 def rate_limit(spark, d):
     """Sliding-window limiter in batch form, at most 3 accepted a day."""
     return S.limit_requests(table(spark, d, "events").select("event_id", F.concat_ws(":", "user_id", "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts")), 3, 86400)
 
 
-@query()
+FAILURES = "CASE WHEN x.t >= a.u THEN CASE WHEN x.f = 1 THEN a.f + 1 ELSE 0 END ELSE a.f END"
+
+
+@query(state_sql("CAST(user_id AS VARCHAR)", "event_type = 'error'", "{'t': t, 'f': CASE WHEN failed THEN 1 ELSE 0 END, 'u': CAST('-infinity' AS DOUBLE), 'o': [true]}", f"{{'t': x.t, 'f': {FAILURES}, 'u': CASE WHEN x.t >= a.u AND {FAILURES} >= 3 THEN x.t + 30 ELSE a.u END, 'o': list_append(a.o, x.t >= a.u)}}", "passed"))
 def circuit_breaker(spark, d):
     """Which calls a breaker lets through, by user."""
     e = table(spark, d, "events")
