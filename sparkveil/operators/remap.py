@@ -155,11 +155,14 @@ def adjacent_merge(words: DataFrame, page: str, phrases: list[str], threshold: i
 
 
 def text_boxes(text: str | None, words: list[tuple]) -> tuple[int, int, int, int] | None:
-    """The union box of the first word, or run of words, (text, x1, y1, x2, y2) that equals the text, holds it or is held by it; case does not matter."""
+    """The box of the first word (text, x1, y1, x2, y2) that equals the text, else the union box of the first word or run of words that holds it
+    or is held by it; case does not matter."""
     wanted = (text or "").strip().casefold()
     if not wanted:
         return None
     names = [(w[0] or "").strip().casefold() for w in words]
+    if wanted in names:
+        return tuple(words[names.index(wanted)][1:5])
     for i, first in enumerate(names):
         if not first:
             continue
