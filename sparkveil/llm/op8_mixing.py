@@ -1,6 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts of the cells source x language x topic are raked until their marginals meet the targets.
+Topics are clusters that are learnt from all texts (topics.py).
 A cell's fitted share over its own share is its weight; one factor turns weights into
 probabilities that keep the wanted part of all tokens, and each document is drawn by its own
 hash. Only cell sums reach the driver, and their number is checked.
@@ -15,20 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .topics import fit, sketches, tokens_and_topic, topic_of_vector
 
 DIMS = ("source", "lang", "topic")
 MAX_CELLS = 200_000  # cells are sources x languages x topics, whatever the number of documents
 KEEP = 0.8
 
 
-def topic(text: Column) -> Column:
-    """A coarse kind of text: web, contact, figures, quoted or prose (also for null)."""
-    t = F.coalesce(text, F.lit(""))
-    return (
-        F.when(t.contains("http") | t.contains("www."), "web").when(t.contains("@"), "contact").when(t.rlike("[0-9]{4}"), "figures").when(t.contains('"'), "quoted").otherwise("prose")
-    )
-
-
 def token_count(text: Column) -> Column:
     """Words between white space; 0 for null and empty texts."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -89,13 +83,21 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, powers: dict[st
     targets takes its present shares to its power (0.5 for sources, 0.7 otherwise). A null source or
     language is a value of its own. Documents without words have no weight to give: they are kept with
     the probability `keep`. The draw is a hash of seed and doc_id, so rows that share a doc_id stay or
-    go together, and any run draws alike. Columns of docs named mix_* as these four are replaced, all others stay. An empty
+    go together, and any run draws alike. topics: a column that names the topic of a row, in place of the learnt ones. Columns of docs named mix_* as these four are replaced, all others stay. An empty
     table gives no rows. More than MAX_CELLS cells are an error.
     """
     spark = docs.sparkSession
-    kind = topic(F.col("text")) if topics is None else topics
-    rows = docs.drop("mix_probability", "mix_kept").withColumns({"mix_tokens": token_count(F.col("text")), "mix_topic": kind})
-    cells = rows.groupBy("source", "lang", F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("mass"))
+    rows = docs.drop("mix_tokens", "mix_topic", "mix_probability", "mix_kept")
+    if topics is None:
+        seen = sketches(docs)
+        model = fit(seen)
+        cells = seen.groupBy("source", "lang", topic_of_vector(model, "tokens", "vector").alias("topic")).agg(F.sum("tokens").alias("mass"))
+        tag = "_mix" + "_" * max(map(len, docs.columns))
+        rows = rows.withColumn(tag, tokens_and_topic(model, F.col("text")))
+        rows = rows.withColumns({"mix_tokens": F.col(tag)["tokens"], "mix_topic": F.col(tag)["topic"]}).drop(tag)
+    else:
+        rows = rows.withColumns({"mix_tokens": token_count(F.col("text")), "mix_topic": topics})
+        cells = rows.groupBy("source", "lang", F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("mass"))
     got = cells.limit(MAX_CELLS + 1).collect()
     if len(got) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic")
