@@ -1,8 +1,9 @@
 """Secret scans: a random forest drops the false positives among long tokens.
 
-A finding is described by its length, its character classes and their transitions, its entropy, how much of it
-dictionary words cover, its document's path and the words beside it. The forest is grown from labelled
-findings; `example_findings` makes such a set by rule where a caller has none.
+A finding is described by its length, its character classes, how usual its character transitions are in the texts at
+hand, its entropy, how much of it dictionary words cover, its document's path and the words beside it. Transitions are counted
+over all documents. The forest is grown from labelled findings, a table or a list of (before, value, after, path, label);
+`example_findings` and `more_findings` make such a set by rule where a caller has none.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ PEM_BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
 PEM_END = re.compile(r"-----END [A-Z ]{0,30}PRIVATE KEY-----")
 KINDS = (("private_key", re.compile(r"-----BEGIN")), ("access_key_id", re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$")), ("prefixed_token", re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ)")), ("hex", re.compile(r"[0-9a-f]+$|[0-9A-F]+$")))
 GOOD = re.compile(r"token|secret|passw|pwd|credential|api[_-]?key|apikey|access|private|auth|bearer|\bkey\b", re.I)
-#: Values of any characters, shorter ones too, that are assigned to such a word; and passwords of addresses.
-VALUE = re.compile(r"(?:token|secret|passw|pwd|credential|api[_-]?key|apikey|access|private|auth|bearer|\bkey\b)[\w\-]{0,30}[\"']?\s{0,3}(?:=>|:=|[=:])\s{0,3}(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"'<>,;]{4,}))", re.I)
+#: Values of any characters, shorter ones too, that are assigned to such a word, or that it is said to be; and passwords of addresses.
+VALUE = re.compile(r"(?:token|secret|passw|pwd|credential|api[_-]?key|apikey|access|private|auth|bearer|\bkey\b)[\w\-]{0,30}[\"']?(?:\s{0,3}(?:=>|:=|[=:])|\s{1,3}is:?(?=\s))\s{0,3}(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"'<>,;]{4,}))", re.I)
 LOGIN = re.compile(r"://[^\s:/@\"']{0,200}:([^\s@/\"']{1,200})@")
 BAD = re.compile(r"sha\d*|commit|checksum|digest|uuid|guid|md5|\bhash|example|sample|dummy|placeholder|version|isbn|order|invoice|card|phone|tracking|revision|etag", re.I)
 TEST_PATH = re.compile(r"test|example|fixture|mock|sample|docs?\b", re.I)
@@ -42,12 +44,89 @@ DICTIONARY = (
     "service session set size socket sort source stack start state static status step storage store stream string style summary switch system table target task template temp test text theme time title token tool total tree type unit update upload user value variable version view web width window word world write year your"
 ).split()
 WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True)), re.I)
-FEATURES = 16
+Findings = list[tuple[str, str, str, str, int]]  # (before, value, after, path, label)
+FEATURES = 18
+MAX_FINDINGS = 50_000  # labelled findings of a table that the forest is grown from, drawn by hash
+PRIOR = 1000
+PIECE = 1 << 21  # bytes of text whose transitions are counted together
 BESIDE = 40  # characters before and after that are looked at
 
 
-def describe(value: str, before: str, after: str, path: str | None) -> list[float]:
-    """The features of one finding."""
+#: Classes of bytes: 0 white space, one for each letter of either case, digit and sign of keys, one for the rest of ASCII, one beyond it.
+KEY_SIGNS = string.ascii_letters + string.digits + "_-/+="
+CLASSES = len(KEY_SIGNS) + 3
+CLASS = np.full(256, CLASSES - 2, np.uint8)
+CLASS[list(b" \t\n\x0b\x0c\r")] = 0
+CLASS[list(KEY_SIGNS.encode())] = np.arange(1, len(KEY_SIGNS) + 1)
+CLASS[128:] = CLASSES - 1
+
+
+def count_transitions(texts: pa.Array) -> np.ndarray:
+    """How often each class of byte follows each inside the texts (CLASSES x CLASSES); null and empty texts have none."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    counts = np.zeros(CLASSES * CLASSES, np.int64)
+    if not len(texts):
+        return counts.reshape(CLASSES, CLASSES)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if ends[-1] > ends[0] else np.empty(0, np.uint8)
+    for a in range(int(ends[0]), int(ends[-1]) - 1, PIECE):
+        b = min(a + PIECE + 1, int(ends[-1]))
+        kinds = CLASS[data[a:b]].astype(np.int32)
+        pairs = kinds[:-1] * CLASSES + kinds[1:]
+        last = ends[(ends > a) & (ends < b)] - 1 - a
+        pairs[last] = 0  # no transition leads from one text to the next
+        counts += np.bincount(pairs, minlength=CLASSES * CLASSES)
+    counts = counts.reshape(CLASSES, CLASSES)
+    counts[0], counts[:, 0] = 0, 0
+    return counts
+
+
+DICTIONARY_COUNTS = count_transitions(pa.array([" ".join([w, w.capitalize(), w.upper()]) for w in DICTIONARY]))
+
+
+class Transitions:
+    """Log chances of the next class of byte inside a word, from a corpus' counts.
+
+    The dictionary's words, with half a count for what they lack, stand in for PRIOR transitions of each class, so
+    that a small corpus does not make its own secrets look usual.
+    """
+
+    def __init__(self, counts: np.ndarray | None = None):
+        smooth = DICTIONARY_COUNTS + 0.5
+        chance = smooth / smooth.sum(axis=1, keepdims=True)
+        if counts is not None:
+            chance = (counts + PRIOR * chance) / (counts.sum(axis=1, keepdims=True) + PRIOR)
+        self.log = np.log(chance)
+
+    def describe(self, value: str) -> tuple[float, float]:
+        """Mean log chance of the value's transitions, and the share of those below an even chance."""
+        kinds = CLASS[np.frombuffer(value.encode("utf-8", "replace"), np.uint8)]
+        log = self.log[kinds[:-1], kinds[1:]]
+        return (float(log.mean()), float((log < -math.log(CLASSES)).mean())) if len(log) else (0.0, 0.0)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((CLASSES, CLASSES), np.int64)
+    for batch in batches:
+        total += count_transitions(batch.column(0))
+    a, b = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], names=["a", "b", "n"])
+
+
+def learn_transitions(docs: DataFrame) -> Transitions:
+    """Transitions of the whole texts of all rows; the driver gets at most CLASSES x CLASSES sums."""
+    pairs = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "a long, b long, n long")
+    counts = np.zeros((CLASSES, CLASSES))
+    for r in pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        counts[r["a"], r["b"]] = r["n"]
+    return Transitions(counts)
+
+
+WORD_TRANSITIONS = Transitions()
+
+
+def describe(value: str, before: str, after: str, path: str | None, transitions: Transitions | None = None) -> list[float]:
+    """The features of one finding; without transitions of a corpus those of the dictionary's words count."""
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
     count = Counter(kinds)
@@ -61,11 +140,11 @@ def describe(value: str, before: str, after: str, path: str | None) -> list[floa
     return [
         float(min(n, 500)), count["d"] / n, count["u"] / n, count["l"] / n, count["o"] / n, turns, entropy, entropy / math.log2(max(2, n)), longest / n,
         sum(map(len, WORDS.findall(value))) / n, float(kind), float(bool(GOOD.search(before))), float(bool(BAD.search(before) or BAD.search(after[:12]))), float(bool(ASSIGNED.search(before))),
-        float(after[:1] in ('"', "'")), float(bool(path and TEST_PATH.search(path))),
+        float(after[:1] in ('"', "'")), float(bool(path and TEST_PATH.search(path))), *(transitions or WORD_TRANSITIONS).describe(value),
     ]
 
 
-def example_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, str, int]]:
+def example_findings(n: int = 3000, seed: int = 5) -> Findings:
     """(before, value, after, path, label): findings labelled by the rule that made them."""
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
@@ -100,7 +179,7 @@ def example_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
     return out
 
 
-def more_findings(n: int = 3000, seed: int = 6) -> list[tuple[str, str, str, str, int]]:
+def more_findings(n: int = 3000, seed: int = 6) -> Findings:
     """As example_findings: passwords, short values and runs without digits, and the words, names and paths that look like them."""
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
@@ -164,7 +243,8 @@ class Forest:
                 impure = np.where(v[1:] > v[:-1], impure, np.inf)
                 i = int(np.argmin(impure))
                 if impure[i] < best[0]:
-                    best = (float(impure[i]), int(f), float((v[i] + v[i + 1]) / 2))
+                    middle = float((v[i] + v[i + 1]) / 2)
+                    best = (float(impure[i]), int(f), middle if middle < v[i + 1] else float(v[i]))
             if best[1] >= 0:
                 go = x[:, best[1]] <= best[2]
                 nodes[me][:2] = [best[1], best[2]]
@@ -186,12 +266,33 @@ class Forest:
         return total / len(self.trees)
 
 
-def train(findings: list[tuple[str, str, str, str, int]]) -> Forest:
+def read_findings(findings: DataFrame, limit: int = MAX_FINDINGS) -> Findings:
+    """Labelled findings of a table (before, value, after, path string, label 0 or 1), at most `limit`, drawn by a hash of the row.
+
+    before and after are the text beside the value. Rows without a value or a label are left out, a null before or after
+    is empty, a null path unknown; repeated rows count as often as they stand. Other columns are ignored.
+    """
+    rows = findings.where("value is not null and value <> '' and label is not null")
+    rows = rows.select(F.coalesce("before", F.lit("")).alias("before"), "value", F.coalesce("after", F.lit("")).alias("after"), "path", F.col("label").cast("int").alias("label"))
+    return [tuple(r) for r in rows.orderBy(F.xxhash64("before", "value", "after"), "label").limit(limit).collect()]
+
+
+def train(findings: Findings, transitions: Transitions | None = None) -> Forest:
     """A forest from labelled findings (before, value, after, path, label); they are held on the driver."""
-    x = np.array([describe(v, b[-BESIDE:], a[:BESIDE], p) for b, v, a, p, _ in findings]).reshape(len(findings), FEATURES)
+    x = np.array([describe(v, b[-BESIDE:], a[:BESIDE], p, transitions) for b, v, a, p, _ in findings]).reshape(len(findings), FEATURES)
     return Forest(x, np.array([f[4] for f in findings], dtype=np.float64))
 
 
+def _model(docs: DataFrame, findings: Findings | DataFrame | None) -> tuple[Forest, Transitions]:
+    """The forest and the transitions that judge the rows of docs."""
+    transitions = learn_transitions(docs)
+    if findings is None:
+        findings = example_findings() + more_findings()
+    elif isinstance(findings, DataFrame):
+        findings = read_findings(findings)
+    return train(findings, transitions), transitions
+
+
 def candidates(text: str | None) -> list[tuple[int, int]]:
     """Spans of a text that may be secrets, in code points."""
     if not text:
@@ -212,9 +313,9 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def judge(texts: list[str | None], paths: list[str | None], spans: list[tuple[int, int, int]], forest: Forest) -> np.ndarray:
+def judge(texts: list[str | None], paths: list[str | None], spans: list[tuple[int, int, int]], forest: Forest, transitions: Transitions | None = None) -> np.ndarray:
     """The forest's probability of each span (text's number, start, end)."""
-    x = [describe(texts[i][s:e], texts[i][max(0, s - BESIDE) : s], texts[i][e : e + BESIDE], paths[i]) for i, s, e in spans]
+    x = [describe(texts[i][s:e], texts[i][max(0, s - BESIDE) : s], texts[i][e : e + BESIDE], paths[i], transitions) for i, s, e in spans]
     return forest.predict(np.array(x).reshape(len(spans), FEATURES))
 
 
@@ -222,12 +323,12 @@ def kind_of(value: str) -> str:
     return next((k for k, p in KINDS if p.match(value)), "opaque")
 
 
-def _scan(forest: Forest):
+def _scan(forest: Forest, transitions: Transitions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("secrets")
         for ids, texts, paths in arrow_rows(batches, "doc_id", "text", "source"):
             spans = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t)]
-            p = judge(texts, paths, spans, forest)
+            p = judge(texts, paths, spans, forest, transitions)
             cols = [[ids[i] for i, _, _ in spans], [s for _, s, _ in spans], [e for _, _, e in spans], [kind_of(texts[i][s:e]) for i, s, e in spans]]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], pa.array(p, pa.float64())], names=["doc_id", "start", "end", "kind", "probability"])
@@ -235,28 +336,28 @@ def _scan(forest: Forest):
     return run
 
 
-def find_secrets(docs: DataFrame, findings: list[tuple[str, str, str, str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
+def find_secrets(docs: DataFrame, findings: Findings | DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, start, end, kind, probability, is_secret) of every candidate in every row of docs.
 
     start and end count code points, end excluded. A null or empty text has no candidates; a null source is
     an unknown path; each row counts for itself, also where doc_ids repeat. The secrets themselves are
-    not returned. An empty table gives no rows; without labelled findings of a caller's own the
-    examples made by rule are used.
+    not returned. An empty table gives no rows, other columns are ignored; findings: labelled ones, a list or a table
+    (read_findings); without them the examples made by rule are used.
     """
-    forest = train(example_findings() + more_findings() if findings is None else findings)
+    model = _model(docs, findings)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
-    found = rows.mapInArrow(_scan(forest), "doc_id long, start int, end int, kind string, probability double")
+    found = rows.mapInArrow(_scan(*model), "doc_id long, start int, end int, kind string, probability double")
     return found.withColumn("is_secret", F.col("probability") >= threshold)
 
 
-def _redact(forest: Forest, threshold: float):
+def _redact(forest: Forest, transitions: Transitions, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("secrets")
         for batch in batches:
             names = batch.schema.names
             texts, paths = (batch.column(names.index(c)).to_pylist() for c in ("text", "source"))
             spans = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t)]
-            chances = judge(texts, paths, spans, forest)
+            chances = judge(texts, paths, spans, forest, transitions)
             parts: dict[int, list[tuple[int, int]]] = {}
             for (i, s, e), p in zip(spans, chances, strict=True):
                 if p >= threshold:
@@ -274,10 +375,14 @@ def _redact(forest: Forest, threshold: float):
     return run
 
 
-def redact_secrets(docs: DataFrame, findings: list[tuple[str, str, str, str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Every row of docs, all its columns, with each secret of `text` replaced by [SECRET:kind]."""
-    forest = train(example_findings() + more_findings() if findings is None else findings)
-    return docs.withColumn("source", F.col("source").cast("string")).mapInArrow(_redact(forest, threshold), docs.withColumn("source", F.col("source").cast("string")).schema)
+def redact_secrets(docs: DataFrame, findings: Findings | DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """Every row of docs, all its columns, with each secret of `text` replaced by [SECRET:kind].
+
+    Null and empty texts stay as they are; each row is redacted for itself, also where rows or doc_ids repeat;
+    columns of any other name pass unread, `source` comes back as a string. An empty table gives no rows.
+    """
+    rows = docs.withColumn("source", F.col("source").cast("string"))
+    return rows.mapInArrow(_redact(*_model(docs, findings), threshold), rows.schema)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
