@@ -4,13 +4,14 @@
    their hashes, the first a - T(a) + l shingles of the one and b - T(b) + l of the other have l in common at least.
    Only these prefixes are dealt out as (token, node); l is as large as what they must hold anyway, so
    a set stays in only while a good part of its prefix is shared with others, however common its passages are.
-2. Rounds. A token that several sets share is an inverted list. Each set goes, with its shingles, to that of its lists
-   whose sets have most others to meet, of those that one task can hold, and is searched for there: the long lists of the group's index are set aside,
-   the short ones are merged, and sets that occur often enough there are looked up in the long lists by binary
-   search. The links make components. A list is open while it holds two sets of different components that no round
-   has put together yet; a set goes on while it has enough open lists.
-3. What is still open after the rounds is searched for in all of its rarest open lists, those of very many sets
-   in pairs of blocks, so no link is missed.
+2. Families. A token that several sets share is an inverted list; lists of the same sets are one. Each set goes, with a
+   sketch of about a bit for each shingle, to so many of its shortest lists that two linked sets meet in one of them. Sketches
+   tell how many shingles two sets differ in at least, so most pairs that are not linked part there, and no linked pair does. What
+   is left of the pairs joins sets into families.
+3. Search. Each text goes to its family once and each set is searched for there: the long lists of the group's index
+   are set aside, the short ones are merged, and sets that occur often enough there are looked up in the long lists by
+   binary search. Families of very many sets are cut into blocks; a few leaders go to all of their blocks, and what
+   different components have still in common by their sketches is searched for in pairs of blocks, so no link is missed.
 
 Documents with equal sets are one node from the start, and only one of their texts is read again.
 """
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,12 @@ from .components import components
 
 BLOCK = 2048  # sets that one task indexes and queries together, times two
 BLOCK_SHINGLES = 2_000_000  # and their shingles
-ROUNDS = 3  # in which a set goes to one list; after them it goes to all that are open
-LEADERS = 32  # sets of a list of several blocks that go to each of them, about
-NAMES = ["doc_id", "place", "n_shingles", "node", "token", "row"]
+SKETCHES = 4  # times as many sets are compared by their sketches together
+SKETCH_BITS = 1 << 16  # of a sketch at most
+LEADERS = 32  # sets of a family of several blocks that go to each of them, about
+NAMES = ["doc_id", "place", "n_shingles", "node", "token", "row", "sketch"]
+_FEW = 24  # sketches that are compared one by one; more are compared by numpy
+_WORDS = 1 << 20  # of sketches that are compared at once
 _SEEN = 200_000  # sets that a task remembers to have dealt out
 _HEAP = 256  # entries that are merged by a heap; more are merged as sorted runs by numpy
 
@@ -68,29 +71,41 @@ def _signed_key(s: np.ndarray) -> int:
     return int(np.uint64(set_key(s)).astype(np.int64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each place, a power of two of them and as many as the set has shingles: whether an odd number of these fall there.
+
+    Sketches of two sets differ in as many bits at most as the sets in shingles, also when the longer one is folded.
+    """
+    bits = min(SKETCH_BITS, max(64, 1 << (len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sign(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _hashes()
         seen: set[int] = set()
         for doc_ids, places, texts, rows in arrow_rows(batches, "doc_id", "place", "text", "row"):
-            sizes, keys, tokens, owners = [], [], [], []
+            sizes, keys, tokens, owners, sketches = [], [], [], [], []
             for text in texts:
                 s = shingle_set(words_of(text), n, cache)
                 key = _signed_key(s) if len(s) else None
                 sizes.append(len(s))
                 keys.append(key)
-                if key is not None and key not in seen:
+                new = key is not None and key not in seen
+                sketches.append(sketch(s) if new else None)
+                if new:
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(key)
                     tokens.append(prefix(s, percent))
                     owners.append(np.full(len(tokens[-1]), key, dtype=np.int64))
             none = pa.nulls
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none(len(sizes), pa.int64()), pa.array(rows, pa.int64())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none(len(sizes), pa.int64()), pa.array(rows, pa.int64()), pa.array(sketches, pa.binary())], names=NAMES)
             if tokens:
                 token, own = np.concatenate(tokens), np.concatenate(owners)
                 k = len(token)
-                yield pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), pa.array(own), pa.array(to_signed(token)), none(k, pa.int64())], names=NAMES)
+                yield pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), pa.array(own), pa.array(to_signed(token)), none(k, pa.int64()), none(k, pa.binary())], names=NAMES)
 
     return run
 
@@ -185,121 +200,180 @@ def links(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[
     return out
 
 
-def _link(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group = {}, None
-
-        def found() -> pa.RecordBatch:
-            pairs = links(list(held), list(held.values()), percent)
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
-
-        for tokens, lows, highs, nodes, sets in arrow_rows(batches, "token", "low", "high", "node", "shingles"):
-            for token, low, high, node, s in zip(tokens, lows, highs, nodes, sets, strict=True):
-                if (token, low, high) != group:
-                    if len(held) > 1:
-                        yield found()
-                    held.clear()
-                    group = (token, low, high)
-                held[node] = np.frombuffer(s, dtype="<u8")
-        if len(held) > 1:
-            yield found()
+def _alike_few(sizes: list[int], sketches: list[bytes], parts: list[int], percent: int) -> list[tuple[int, int]]:
+    out, label = [], list(range(len(sizes)))
+    bits, numbers = [8 * len(x) for x in sketches], [int.from_bytes(x, "little") for x in sketches]
+    for i in range(len(sizes)):
+        for j in range(i + 1, len(sizes)):
+            need = needed(sizes[i], sizes[j], percent)
+            if label[i] == label[j] or parts[i] == parts[j] or min(sizes[i], sizes[j]) < need:
+                continue
+            both, m = numbers[i] ^ numbers[j], max(bits[i], bits[j])
+            while m > min(bits[i], bits[j]):
+                m //= 2
+                both = both >> m ^ both & (1 << m) - 1
+            if (sizes[i] + sizes[j] - both.bit_count()) // 2 >= need:
+                out.append((i, j))
+                old, new = label[j], label[i]
+                label = [new if x == old else x for x in label]
+    return out
 
-    return run
+
+def alike(sizes: list[int], sketches: list[bytes], parts: list[int], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, as numbers, of the pairs of sets of different parts that may be linked by what their sketches tell."""
+    if len(sizes) <= _FEW:
+        return _alike_few(sizes, sketches, parts, percent)
+    order = sorted(range(len(sizes)), key=lambda i: (len(sketches[i]), sizes[i]))
+    size, part = np.array([sizes[i] for i in order], dtype=np.int64), np.array([parts[i] for i in order], dtype=np.int64)
+    words = np.array([len(sketches[i]) // 8 for i in order])
+    out, label = [], np.arange(len(order))
+    for m in np.unique(words).tolist():
+        first, end = np.searchsorted(words, m), np.searchsorted(words, m, side="right")
+        last = end + np.searchsorted(size[end:], size[end - 1] * 100 // percent, side="right") if words[-1] > m else end
+        folded = np.empty((last - first, m), dtype=np.uint64)
+        for k in range(first, last):
+            folded[k - first] = np.bitwise_xor.reduce(np.frombuffer(sketches[order[k]], dtype="<u8").reshape(-1, m), axis=0)
+        step = max(1, _WORDS // (m * (last - first)))
+        for i in range(first, end, step):
+            rows = np.arange(i, min(end, i + step))
+            total = size[rows][:, None] + size[None, i:last]
+            need = -(-percent * total // (100 + percent))
+            differ = np.bitwise_count(folded[rows - first][:, None, :] ^ folded[None, i - first :, :]).sum(axis=2, dtype=np.int64)
+            ok = ((total - differ) // 2 >= need) & (np.minimum(size[rows][:, None], size[None, i:last]) >= need) & (part[rows][:, None] != part[None, i:last])
+            for k in rows.tolist():
+                found = i + np.flatnonzero(ok[k - i])
+                found = found[label[found] != label[k]]
+                if len(found):
+                    others, at = np.unique(label[found], return_index=True)
+                    out += [(order[k], order[j]) for j in found[at].tolist()]
+                    label[np.isin(label, others)] = label[k]
+    return out
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], names: list[str], item) -> Iterator[dict]:
+    """The items by node of each group (token, low, high) of two nodes or more; the rows of a group follow each other."""
+    held, group = {}, None
+    for tokens, lows, highs, nodes, *others in arrow_rows(batches, "token", "low", "high", "node", *names):
+        for token, low, high, node, *other in zip(tokens, lows, highs, nodes, *others, strict=True):
+            if (token, low, high) != group:
+                if len(held) > 1:
+                    yield held
+                held, group = {}, (token, low, high)
+            if node not in held and (value := item(node, *other)) is not None:
+                held[node] = value
+    if len(held) > 1:
+        yield held
 
 
-def _sets(n: int):
-    """(node, shingles) of texts."""
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
+
+def _alike(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _hashes()
-        for (texts,) in arrow_rows(batches, "text"):
-            sets = [s for s in (shingle_set(words_of(t), n, cache) for t in texts) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_signed_key(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+        out: list[tuple[int, int]] = []
+        for held in _grouped(batches, ["size", "part", "sketch"], lambda node, *item: item):
+            nodes, (sizes, parts, sketches) = list(held), zip(*held.values(), strict=True)
+            out += [(nodes[i], nodes[j]) for i, j in alike(list(sizes), list(sketches), list(parts), percent)]
+            if len(out) >= 10_000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
 
     return run
 
 
-def _fresh(rows: DataFrame, marks: list[str]) -> DataFrame:
-    """rows (token, node, marks, ...) with `fresh`: the sets of the list that differ from the set in all marks.
+def _link(n: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _hashes()
 
-    Counted by inclusion and exclusion from the list's sets with equal marks; the rows are dealt out once, by token.
-    """
-    subsets = [c for k in range(len(marks) + 1) for c in combinations(marks, k)]
-    fresh = sum((-1) ** len(c) * F.count(F.lit(1)).over(Window.partitionBy("token", *c)) for c in subsets)
-    return rows.withColumn("fresh", fresh).where("fresh > 0")
+        def shingles(node: int, text: str) -> np.ndarray | None:
+            s = shingle_set(words_of(text), n, cache)
+            return s if len(s) and _signed_key(s) == node else None  # rows that share a doc_id may have other texts
+
+        for held in _grouped(batches, ["text"], shingles):
+            yield _pairs(links(list(held), list(held.values()), percent))
+
+    return run
 
 
-def _open(held: DataFrame, nodes: DataFrame, rounds: int, percent: int) -> DataFrame:
-    """(token, node, size, n, fresh, weight, has): the open lists (n sets each) of the sets that have enough of them.
+def _open(held: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(token, node, size, n, weight, has): the lists (n sets each) of the sets that have enough of them.
 
-    A list is open for a set while `fresh` of its sets are in other components and were never together with it in a round.
-    Lists of the same sets are one, of their summed weight; has: the weight of all open lists of a set.
+    Lists of the same sets are one, of their summed weight; has: the weight of all lists of a set.
     """
-    rows = held.join(nodes, "node")
-    if rounds:
-        rows = _fresh(rows, ["component", *[f"team{r}" for r in range(rounds)]])
+    rows = held.join(sizes.select("node", "size"), "node")
     names = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"s{k}") for k in (1, 2)]
-    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), *names).where("n > 1")
-    lists = lists.groupBy("n", "s1", "s2").agg(F.min("token").alias("token"), F.sum("weight").alias("weight"))
-    rows = rows.select("token", "node", "size", *(["fresh"] if rounds else [])).join(lists.select("token", "n", "weight"), "token")
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *names).where("n > 1")
+    lists = lists.groupBy("n", "s1", "s2").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight"))
+    rows = rows.join(lists.select("token", "n", "weight"), "token")
     kept = rows.groupBy("node").agg(F.sum("weight").alias("has"), F.first("size").alias("of")).where(F.col("has") >= enough(F.col("of"), percent))
-    return rows.join(kept.select("node", "has"), "node").select("token", "node", "size", "n", "weight", "has", F.col("fresh") if rounds else F.col("n").alias("fresh"))
+    return rows.join(kept.select("node", "has"), "node").select("token", "node", "size", "n", "weight", "has")
 
 
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """members (token, node, size) of lists with two sets or more, with `blocks`, into how many their list is cut."""
-    cut = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    return members.join(members.groupBy("token").agg(cut, F.count(F.lit(1)).alias("sets")).where("sets > 1"), "token")
+def _shortest(lists: DataFrame, percent: int) -> DataFrame:
+    """(token, node, size) of so many of each set's shortest lists that two linked sets meet in the first of those they share."""
+    rarer = F.coalesce(F.sum("weight").over(Window.partitionBy("node").orderBy("n", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lists.withColumn("rarer", rarer).where(F.col("rarer") <= F.col("has") - enough(F.col("size"), percent)).select("token", "node", "size")
 
 
-def _search(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside each group (token, low, high) of members."""
-    tasks = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = members.join(sets, "node").repartition(tasks, "token", "low", "high").sortWithinPartitions("token", "low", "high", "node")
-    return durable(rows.select("token", "low", "high", "node", "shingles").mapInArrow(_link(percent), "a long, b long").distinct(), "links")
+def _blocks(members: DataFrame, block: int, shingles: int) -> DataFrame:
+    """members (token, node, size, ...) of groups with two sets or more, with `blocks`, into how many their group is cut, and `own`, theirs."""
+    cut = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / shingles)).cast("int").alias("blocks")
+    own = F.pmod(F.xxhash64(F.lit(0), "node"), F.col("blocks")).cast("int")
+    return members.join(members.groupBy("token").agg(cut, F.count(F.lit(1)).alias("sets")).where("sets > 1"), "token").withColumn("own", own)
 
 
-def _one_list(held: DataFrame, block: int) -> DataFrame:
-    """(token, node, size) by which each set goes to one of its open lists.
+def _in_pairs(members: DataFrame) -> DataFrame:
+    """Each member once for each pair of blocks (low, high) that its own is of."""
+    rows = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
-    Of the lists that one task holds it is that of most fresh sets in all, so that sets which have to meet choose alike; else the shortest.
-    """
-    score = F.when(F.first("n") <= block, F.sum("fresh")).otherwise(-F.first("n"))
-    rows = held.select("token", "node", "size").join(held.groupBy("token").agg(score.alias("score")), "token")
-    return rows.groupBy("node").agg(F.first("size").alias("size"), F.max(F.struct("score", "token")).alias("best")).select("node", "size", "best.token")
-
-
-def linked(held: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
-    """(node, component) of nodes with links. held: (token, node, weight), sizes: (node, size), sets: (node, shingles)."""
-    nodes = durable(sizes.select("node", "size", F.col("node").alias("component")), "nodes")
-    found = None
-    for r in range(ROUNDS + 1):
-        still = durable(_open(held, nodes, r, percent), "open")
-        if still.limit(1).count() == 0:
-            break
-        held = still.select("token", "node", "weight")
-        whole = F.pmod(F.xxhash64(F.lit(r), "node"), F.col("blocks")).cast("int")
-        if r < ROUNDS:
-            members = durable(_blocks(_one_list(still, block), block).withColumn("own", whole), "members")
-            leader = F.pmod(F.xxhash64(F.lit("leader"), F.lit(r), "node"), F.ceil(F.col("sets") / LEADERS)) == 0
-            to = F.when(leader, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-            groups = members.select("token", "node", F.explode(to).alias("low")).withColumn("high", F.col("low"))
-        else:
-            rarer = F.coalesce(F.sum("weight").over(Window.partitionBy("node").orderBy("n", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            members = still.withColumn("rarer", rarer).where(F.col("rarer") <= F.col("has") - enough(F.col("size"), percent))
-            members = _blocks(members.select("token", "node", "size"), block).withColumn("own", whole).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            groups = members.select("token", "node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-        new = _search(groups, sets, percent)
-        found = new if found is None else found.union(new)
-        joined = components(found, "a", "b")
-        if r == ROUNDS:
-            return joined
-        team = F.coalesce(F.xxhash64("token", "own"), F.xxhash64(F.lit("alone"), "node")).alias(f"team{r}")
-        old = [c for c in nodes.columns if c != "component"]
-        nodes = held.select("node").distinct().join(nodes, "node").select(*old)
-        nodes = nodes.join(joined, "node", "left").join(members.select("node", "token", "own"), "node", "left").select(*old, F.coalesce("component", "node").alias("component"), team)
-        nodes = durable(nodes, "nodes")
-    return nodes.select("node", "component").limit(0) if found is None else joined
+
+def _with_leaders(members: DataFrame) -> DataFrame:
+    """Each member in its own block, some in all blocks of the group."""
+    leader = F.pmod(F.xxhash64(F.lit("leader"), "node"), F.ceil(F.col("sets") / LEADERS)) == 0
+    rows = members.withColumn("low", F.explode(F.when(leader, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    return rows.withColumn("high", F.col("low"))
+
+
+def _found(rows: DataFrame, run, name: str) -> DataFrame:
+    """Pairs (a, b) that run finds inside each group (token, low, high) of rows."""
+    tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(tasks, "token", "low", "high").sortWithinPartitions("token", "low", "high")
+    return durable(rows.mapInArrow(run, "a long, b long"), name)
+
+
+def _families(lists: DataFrame, sketches: DataFrame, percent: int, block: int) -> DataFrame:
+    """(token, node): families of sets of different parts that may be linked by what their sketches tell. lists: (token, node, size, part)."""
+    groups = _in_pairs(_blocks(lists, SKETCHES * block, SKETCHES * BLOCK_SHINGLES)).select("token", "low", "high", "node", "size", "part")
+    return components(_found(groups.join(sketches, "node"), _alike(percent), "alike"), "a", "b").select(F.col("component").alias("token"), "node")
+
+
+def linked(held: DataFrame, texts: DataFrame, sketches: DataFrame, sizes: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """(node, component) of nodes with links. held: (token, node), texts: (place, text), sketches: (node, sketch), sizes: (node, place, size)."""
+    spark = held.sparkSession
+    lists = durable(_shortest(durable(_open(held, sizes, percent), "open"), percent), "lists")
+
+    def search(groups: DataFrame) -> DataFrame:
+        groups = durable(groups.select("token", "low", "high", "node", "size").join(sizes.select("node", "place"), "node"), "groups")
+        with bloom_joins(spark):  # a text that no set is asked of need not be dealt out
+            asked = texts.join(groups.where("size > 0").select("place", "token", "low", "high", "node"), "place")
+            return _found(asked.select("token", "low", "high", "node", "text"), _link(n, percent), "links")
+
+    def members(families: DataFrame) -> DataFrame:
+        return durable(_blocks(families.join(sizes.select("node", "size"), "node"), block, BLOCK_SHINGLES), "members")
+
+    whole = members(_families(lists.withColumn("part", F.col("node")), sketches, percent, block))
+    found = search(_with_leaders(whole))
+    joined = components(found, "a", "b")
+    large = whole.where("blocks > 1").select("node")
+    if large.limit(1).count() == 0:
+        return joined
+    # The blocks of a large family have met by their leaders alone.
+    parts = large.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+    rest = members(_families(lists.join(parts, "node"), sketches, percent, block))
+    return components(found.union(search(_in_pairs(rest))), "a", "b")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK, row: str | None = None) -> DataFrame:
@@ -317,21 +391,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: in
     """
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("place"), "text", (F.lit(None) if row is None else F.col(row)).cast("long").alias("row"))
-    signed = durable(rows.mapInArrow(_sign(n, percent), "doc_id long, place long, n_shingles long, node long, token long, row long"), "prefixes")
+    signed = durable(rows.mapInArrow(_sign(n, percent), "doc_id long, place long, n_shingles long, node long, token long, row long, sketch binary"), "prefixes")
     plain = signed.where("token is null").select("doc_id", "place", "n_shingles", "node", "row")
     tokens = signed.where("token is not null").select("token", "node")
     common = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     common = durable(common.select("token", F.lit(2).alias("least")), "common")
     with bloom_joins(docs.sparkSession):  # tokens of one set need not be dealt out again
-        held = durable(tokens.join(common.where("least > 1").select("token"), "token", "left_semi").distinct().withColumn("weight", F.lit(1).cast("long")), "held")
+        held = durable(tokens.join(common.where("least > 1").select("token"), "token", "left_semi").distinct(), "held")
     has = held.groupBy("node").agg(F.count(F.lit(1)).alias("has"))
     reps = plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.max("n_shingles").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
     sizes = durable(reps.join(has, "node").where(F.col("has") >= enough(F.col("size"), percent)).select("node", "place", "size"), "sizes")
-    with bloom_joins(docs.sparkSession):  # nor texts that no set is asked of
-        near = rows.select("place", "text").join(sizes.where("size > 0").select("place"), "place", "left_semi")
-        # Rows that share a doc_id may have other texts.
-        sets = durable(near.select("text").mapInArrow(_sets(n), "node long, shingles binary").join(sizes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    joined = linked(held, sets, sizes, percent, block)
+    sketches = durable(signed.where("sketch is not null").select("node", "sketch").join(sizes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    joined = linked(held, rows.select("place", "text"), sketches, sizes, n, percent, block)
     least = joined.join(reps, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("least"))
     named = reps.join(joined, "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("least", "first")["row"].alias("least"))
     more = [] if row is None else [F.col("row").alias(row), (F.col("row") == F.col("least")).alias("least")]
