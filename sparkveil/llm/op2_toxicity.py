@@ -27,6 +27,7 @@ DOCS_PER_CLASS = 5000  # labelled rows of a class that are learnt from at most
 FOLDS = 3
 THRESHOLD = 0.3
 WINDOW = 8  # words of a stretch
+GRAM_WORDS = 20_000  # words whose grams are counted at once
 _EDGES = b" .,;:!?\"'()[]{}<>|*#$%&-_+=/\\~`^@"
 _MASK = [(1 << (8 * k)) - 1 for k in range(9)]
 
@@ -74,19 +75,29 @@ def lower(types: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, (n - DISCOUNT) / total[head] + DISCOUNT * kinds[head] / total[head] * below
 
 
+def gram_counts(words: list[bytes], *counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct ORDER-grams of words and, for each of the words' counts, how often each gram occurs; counted some words at a time."""
+    keys, sums = np.zeros(0, np.uint64), [np.zeros(0) for _ in counts]
+    for i in range(0, len(words), GRAM_WORDS):
+        part, owner = grams(words[i : i + GRAM_WORDS])
+        new, which = np.unique(part, return_inverse=True)
+        more = [np.bincount(which, weights=c[i : i + GRAM_WORDS][owner], minlength=len(new)) for c in counts]
+        keys, which = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        sums = [np.bincount(which, weights=np.concatenate([a, b]), minlength=len(keys)) for a, b in zip(sums, more, strict=True)]
+    return keys, sums
+
+
 def train(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> dict[str, np.ndarray]:
     """Log-likelihood ratios of ORDER-grams, and of contexts whose next byte neither class has shown, from word counts."""
     if not words:
         none = np.zeros(0)
         return {"keys": none.astype(np.uint64), "ratio": none, "heads": none.astype(np.uint64), "back": none}
-    at, owner = grams(words)
-    keys, which = np.unique(at, return_inverse=True)
+    keys, sums = gram_counts(words, toxic, ordinary)
     low_keys, low = lower(keys, ORDER - 1)
     shared = find(low_keys, low, keys & np.uint64(_MASK[ORDER - 1]), 1 / 256)
     heads, head = np.unique(keys >> np.uint64(8), return_inverse=True)
     log_p, back = [], []
-    for counts in (toxic, ordinary):
-        c = np.bincount(which, weights=counts[owner], minlength=len(keys))
+    for c in sums:
         total = np.bincount(head, weights=c, minlength=len(heads))
         kinds = np.bincount(head, weights=c > 0, minlength=len(heads))
         held = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1e-9), 1.0)
