@@ -9,7 +9,8 @@ refines the result adaptively. Bits of probability add up to bits per byte.
 
 A word in a class has one probability, whichever text it stands in. So distinct (word, class) pairs are dealt out by the
 word's first four bytes, once: all that contexts of five bytes and more need is then in one place, and their tables
-grow with the corpus, a table for each batch of beginnings. Contexts of up to four bytes, whose number does
+grow with the corpus, a table for each batch of beginnings. A beginning of very many pairs is cut between words that
+differ in their first SPLIT bytes, and each piece counts the shorter contexts of the others as well. Contexts of up to four bytes, whose number does
 not grow, share tables of fixed size, which are summed over all tasks and sent to them. Weights and
 refinement are moved online, part by part, over all training pairs, each occurrence being predicted from the counts of all others;
 the weights of all tasks are averaged. Last, every pair's probability is joined with the texts that hold it.
@@ -44,7 +45,10 @@ BUCKETS = 33
 RATE = 0.15  # of the weights' moves, against the size of past ones
 STRETCH_WORDS = 500_000  # words whose distinct pairs are dealt out together
 PART = 2_500  # distinct pairs that are worked on at once
-BATCH = 60_000  # pairs of a batch of beginnings, at least
+SPLIT = 6  # bytes of a word by which beginnings of very many pairs are cut
+BATCH = 12_000  # distinct pairs of a batch of beginnings, at least
+HELD = 300_000  # pairs that a task has beyond its distinct ones, at most, when equal ones become one
+DEALS = 3  # parts of the pairs for each partition
 SPACE, NEWLINE = 0x20, 0x0A
 END_HASH = np.uint64(0xA5A5A5A5DEADBEEF)
 #: Bytes from frequent to rare; the others follow in natural order.
@@ -95,16 +99,15 @@ class Speller:
         edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
         start, end = edge[::2], edge[1::2]
         size = end - start
-        hashes = np.empty(len(start), dtype=np.uint64)
-        for i in range(0, len(start), 50_000):  # a few words at a time, for they need many bytes for each letter
-            hashes[i : i + 50_000] = self.hashes(flat, start[i : i + 50_000], size[i : i + 50_000])
-        return flat, start, size, hashes, np.searchsorted(ends, start, side="right")
+        return flat, start, size, self.hashes(flat, start, size), np.searchsorted(ends, start, side="right")
 
     def hashes(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The hashes that words() gives, of words at start; END_HASH where the size is 0."""
         out = np.full(len(start), END_HASH)
-        some = np.flatnonzero(size)
-        if len(some):
+        for i in range(0, len(start), 50_000):  # a few words at a time, for they need many bytes for each letter
+            some = i + np.flatnonzero(size[i : i + 50_000])
+            if not len(some):
+                continue
             n = size[some]
             firsts = np.cumsum(n) - n
             place = np.arange(int(n.sum())) - np.repeat(firsts, n)
@@ -113,8 +116,8 @@ class Speller:
             out[some] = mix64(np.add.reduceat(each, firsts) + n.astype(np.uint64))
         return out
 
-    def spell(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word, bit, contexts, late): for each decision the word's number, the turn, 32 bits of each context's hash, and whether EARLY bytes came before.
+    def spell(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, classes: np.ndarray, until: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, bit, contexts, late): for each decision the word's number, the turn, 32 bits of each context's hash, and whether EARLY bytes came before (and fewer than until).
 
         A word is the bytes at start and a space; size 0 is the end of a text and is spelled as a newline.
         """
@@ -145,7 +148,7 @@ class Speller:
             h *= np.uint32(0x85EBCA77)
             out[i] = h
         word = np.repeat(np.arange(len(start)), np.add.reduceat(steps, firsts)) if len(start) else np.zeros(0, np.int64)
-        return word, self.bit[path], out, np.repeat(place >= EARLY, steps)
+        return word, self.bit[path], out, np.repeat(place >= EARLY if until is None else (place >= EARLY) & (place < until), steps)
 
 
 def speller() -> Speller:
@@ -216,10 +219,10 @@ class Batch:
     """The pairs of some beginnings of words, with the counts of their contexts of EARLY bytes and more."""
 
     def __init__(self, body: bytes):
-        self.flat, self.size, self.classes, self.times = unpacked(body)
+        self.flat, self.size, self.classes, self.times, self.others = unpacked(body)
         self.start = np.cumsum(self.size) - self.size
         self.hashes = speller().hashes(self.flat, self.start, self.size)
-        decisions = 5 * int((self.size + 1)[self.times > 0].sum())
+        decisions = 5 * (int((self.size + 1)[self.times > 0].sum()) + sum((SPLIT - EARLY) * len(size) for _, size, _, _ in self.others))
         self.bits = min(26, max(10, decisions.bit_length()))
         self.late = np.zeros((1 << self.bits, 2), dtype=np.float32)
 
@@ -239,6 +242,12 @@ class Batch:
             times = self.times[part].astype(np.float32)[word]
             for slots in self.late_slots(h):
                 add(self.late, slots[late], bit[late], times[late])
+        for flat, size, classes, times in self.others:
+            start = np.cumsum(size) - size
+            for i in range(0, len(size), PART):
+                word, bit, h, late = speller().spell(flat, start[i : i + PART], size[i : i + PART], classes[i : i + PART], SPLIT)
+                for slots in self.late_slots(h):
+                    add(self.late, slots[late], bit[late], times[i : i + PART].astype(np.float32)[word[late]])
         return self
 
     def inputs(self, tables: list[np.ndarray], bit: np.ndarray, h: np.ndarray, late: np.ndarray, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -384,11 +393,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([ends], pa.int64()), pa.array([True])], names=["h", "c", "is_end"])
 
 
-PAIR_SCHEMA = "p int, word binary, class int, times long"
+PAIR_SCHEMA = "p int, body binary"
 
 
-def _pairs(markers):
-    """Distinct pairs of each stretch, with how often they occur in training texts (0 for other texts)."""
+def letters_of(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The letters of the words at start, one after the other."""
+    out, at = np.empty(int(size.sum()), dtype=np.uint8), 0
+    for i in range(0, len(start), 50_000):
+        n = size[i : i + 50_000]
+        ends = np.cumsum(n)
+        out[at : at + int(ends[-1])] = flat[np.repeat(start[i : i + 50_000] - (ends - n), n) + np.arange(int(ends[-1]))]
+        at += int(ends[-1])
+    return out
+
+
+def beginnings(flat: np.ndarray, start: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """The first n bytes of each word as a number."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    for k in range(n):
+        out |= np.where(size > k, flat[np.minimum(start + k, len(flat) - 1)], 0).astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def dealt(flat: np.ndarray, start: np.ndarray, size: np.ndarray, deals: int) -> np.ndarray:
+    return ((mix64(beginnings(flat, start, size, EARLY)) >> np.uint64(33)) % np.uint64(deals)).astype(np.int32)
+
+
+def _pairs(markers, deals: int = 1):
+    """Distinct pairs of each stretch, with how often they occur in training texts (0 for other texts), a row for each of the parts they are dealt out to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         without_tables()
@@ -396,72 +428,111 @@ def _pairs(markers):
             s = Stretch(docs, markers.value)
             learn = np.array([o[0] for o in others], dtype=np.float64)
             times = np.bincount(s.pair, weights=learn[s.owner], minlength=len(s.keys)).astype(np.int64)
-            ends = np.concatenate(([0], np.cumsum(s.size)))
-            data = s.flat[np.repeat(s.start - ends[:-1], s.size) + np.arange(int(ends[-1]))]
-            begin = np.zeros(len(s.keys), dtype=np.uint64)
-            for k in range(EARLY):
-                letter = np.where(s.size > k, s.flat[np.minimum(s.start + k, len(s.flat) - 1)], 0)
-                begin |= letter.astype(np.uint64) << np.uint64(8 * k)
-            p = (mix64(begin) >> np.uint64(33)).astype(np.int32)
-            for i in range(0, len(p), 200_000):
-                j = min(len(p), i + 200_000)
-                words = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((ends[i : j + 1] - ends[i]).astype("<i4").tobytes()), pa.py_buffer(data[ends[i] : ends[j]].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(p[i:j]), words, pa.array(s.classes[i:j], pa.int32()), pa.array(times[i:j])], names=["p", "word", "class", "times"])
+            deal = dealt(s.flat, s.start, s.size, deals)
+            order = np.argsort(deal, kind="stable")
+            size, deal, classes, times = s.size[order], deal[order], s.classes[order].astype("u1"), times[order]
+            letters, ends = letters_of(s.flat, s.start[order], size), np.concatenate(([0], np.cumsum(size)))
+            edges = np.flatnonzero(np.concatenate(([True], deal[1:] != deal[:-1], [True]))) if len(deal) else np.zeros(1, np.int64)
+            size, times = size.astype("<i4"), times.astype("<i4")
+            bodies = [pickle.dumps((letters[ends[i] : ends[j]].tobytes(), size[i:j].tobytes(), classes[i:j].tobytes(), times[i:j].tobytes())) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            for i in range(0, len(bodies), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(deal[edges[:-1]][i : i + 1000]), pa.array(bodies[i : i + 1000], pa.binary())], names=["p", "body"])
 
     return run
 
 
-def packed(flat: np.ndarray, size: np.ndarray, classes: np.ndarray, times: np.ndarray) -> bytes:
-    """Pairs as one value; equal pairs become one."""
-    start = np.cumsum(size) - size
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # letters, sizes, classes, times
+
+
+def merged(pairs: list[Pairs]) -> Pairs:
+    """All pairs; equal ones become one."""
+    flat, size, classes, times = (np.concatenate(c) for c in zip(*pairs, strict=True))
+    start = np.cumsum(size, dtype=np.int64) - size
     _, first, which = np.unique(pair_keys(speller().hashes(flat, start, size), classes), return_index=True, return_inverse=True)
-    n = size[first]
-    ends = np.cumsum(n)
-    letters = flat[np.repeat(start[first] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-    return zlib.compress(pickle.dumps((letters.tobytes(), n.astype("<i4").tobytes(), classes[first].astype("u1").tobytes(), np.bincount(which, weights=times, minlength=len(first)).astype("<i8").tobytes())), 1)
+    return letters_of(flat, start[first], size[first]), size[first], classes[first], np.bincount(which, weights=times, minlength=len(first)).astype(np.int64)
 
 
-def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    flat, size, classes, times = pickle.loads(zlib.decompress(body))
-    flat = np.frombuffer(flat, dtype=np.uint8)
-    return flat if len(flat) else np.zeros(1, np.uint8), np.frombuffer(size, "<i4").astype(np.int64), np.frombuffer(classes, "u1").astype(np.int64), np.frombuffer(times, "<i8")
+def chosen(pairs: Pairs, which: np.ndarray, most: int | None = None) -> Pairs:
+    """Some of the pairs, with the first bytes of their words."""
+    flat, size, classes, times = pairs
+    start = np.cumsum(size, dtype=np.int64) - size
+    n = size[which] if most is None else np.minimum(size[which], most)
+    return letters_of(flat, start[which], n), n, classes[which], times[which]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs sorted by p as bodies of BATCH pairs at least; those of one p are in one body."""
-    without_tables()
-    held: list[tuple] = []
+def packed(pairs: Pairs, others: list[Pairs]) -> bytes:
+    def plain(p: Pairs) -> tuple[bytes, ...]:
+        return p[0].tobytes(), p[1].astype("<i4").tobytes(), p[2].astype("u1").tobytes(), p[3].astype("<i8").tobytes()
+
+    return zlib.compress(pickle.dumps((*plain(pairs), [plain(p) for p in others])), 1)
+
+
+def _arrays(flat: bytes, size: bytes, classes: bytes, times: bytes, kind: str = "<i8") -> Pairs:
+    return np.frombuffer(flat, dtype=np.uint8), np.frombuffer(size, "<i4").astype(np.int64), np.frombuffer(classes, "u1").astype(np.int64), np.frombuffer(times, kind)
+
+
+def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Pairs]]:
+    *own, others = pickle.loads(zlib.decompress(body))
+    flat, size, classes, times = _arrays(*own)
+    return flat if len(flat) else np.zeros(1, np.uint8), size, classes, times, [_arrays(*o) for o in others]
 
-    def joined() -> list[np.ndarray]:
-        out = [np.concatenate(c) for c in zip(*held, strict=True)]
-        held.clear()
-        return out
 
-    def row(p: np.ndarray, size: np.ndarray, classes: np.ndarray, times: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([packed(flat, size, classes, times)], pa.binary())], names=["body"])
-
-    n = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        word = b.column(1)
-        ends = np.frombuffer(word.buffers()[1], dtype="<i4")[word.offset : word.offset + len(word) + 1].astype(np.int64)
-        data = word.buffers()[2]
-        flat = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].copy() if data is not None and ends[-1] > ends[0] else np.zeros(0, np.uint8)
-        held.append((b.column(0).to_numpy(), np.diff(ends), b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy(), flat))
-        n += b.num_rows
-        if n >= BATCH:
-            p, size, classes, times, flat = joined()
-            cut = int(np.searchsorted(p, p[-1]))  # the rows before belong to whole beginnings
-            letters = int(size[:cut].sum())
-            if cut:
-                yield row(p[:cut], size[:cut], classes[:cut], times[:cut], flat[:letters])
-            held.append((p[cut:], size[cut:], classes[cut:], times[cut:], flat[letters:]))
-            n = len(p) - cut if cut else n // 2
-    if held:
-        p, size, classes, times, flat = joined()
-        if len(p):
-            yield row(p, size, classes, times, flat)
+def cut(pairs: Pairs, batch: int) -> Iterator[bytes]:
+    """Bodies of distinct pairs, `batch` or more in each but the last; beginnings of EARLY bytes are cut only if they have two batches or more.
+
+    The pieces of such a beginning are whole beginnings of SPLIT bytes and hold, as `others`, what the other pieces count in shorter contexts.
+    """
+    flat, size, _, times = pairs
+    if not len(size):
+        return
+    start = np.cumsum(size, dtype=np.int64) - size
+    flat = flat if len(flat) else np.zeros(1, np.uint8)
+    early, split = beginnings(flat, start, size, EARLY), beginnings(flat, start, size, SPLIT)
+    order = np.lexsort((split, early))
+    early, split = early[order], split[order]
+    edges = np.concatenate((np.flatnonzero(np.concatenate(([True], early[1:] != early[:-1]))), [len(early)]))
+    since = 0
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if j - i >= 2 * batch:
+            if i > since:
+                yield packed(chosen(pairs, order[since:i]), [])
+            steps = [i]
+            for e in (i + 1 + np.flatnonzero(split[i + 1 : j] != split[i : j - 1])).tolist():
+                if e - steps[-1] >= batch:
+                    steps.append(e)
+            pieces = [order[a:b] for a, b in zip(steps, [*steps[1:], j], strict=True)]
+            short = [merged([chosen(pairs, p[times[p] > 0], SPLIT)]) if (times[p] > 0).any() else None for p in pieces] if len(pieces) > 1 else [None]
+            for k, p in enumerate(pieces):
+                yield packed(chosen(pairs, p), [o for m, o in enumerate(short) if m != k and o is not None])
+            since = j
+        elif j - since >= batch:
+            yield packed(chosen(pairs, order[since:j]), [])
+            since = j
+    if since < len(order):
+        yield packed(chosen(pairs, order[since:]), [])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bodies of each deal's pairs; the rows of a deal follow each other."""
+    without_tables()
+    held: list[Pairs] = []
+    deal, n, distinct = None, 0, 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for body in cut(merged(held), BATCH) if held else ():
+            yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], names=["body"])
+
+    for deals, bodies in arrow_rows(batches, "p", "body", rows=100):
+        for d, body in zip(deals, bodies, strict=True):
+            if d != deal:
+                yield from rows()
+                deal, n, distinct, held = d, 0, 0, []
+            held.append(_arrays(*pickle.loads(body), "<i4"))
+            n += len(held[-1][1])
+            if n >= 2 * distinct + HELD:
+                held = [merged(held)]
+                n = distinct = len(held[0][1])
+    yield from rows()
 
 
 MODEL_SCHEMA = "chunk int, body binary"
@@ -630,13 +701,14 @@ def score(docs: DataFrame, learn: Column, held_out: Column | None = None) -> Dat
     top = counts.where(~F.col("is_end")).orderBy(F.col("c").desc(), "h").limit(CLASSES).collect()
     markers = np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = rows.select("learn", "text").mapInArrow(_pairs(spark.sparkContext.broadcast(markers)), PAIR_SCHEMA)
+    pairs = rows.select("learn", "text").mapInArrow(_pairs(spark.sparkContext.broadcast(markers), DEALS * parts), PAIR_SCHEMA)
     bodies = durable(pairs.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_pack, "body binary"), "pairs")
     # Tables of fixed size, whatever the corpus.
     chunks = bodies.mapInArrow(_tables, MODEL_SCHEMA).repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_add, MODEL_SCHEMA)
-    model = {"name": uuid.uuid4().hex, "chunks": [(r["chunk"], bytes(r["body"])) for r in chunks.toLocalIterator()]}
+    model = {"name": uuid.uuid4().hex, "chunks": [(r["chunk"], bytes(r["body"])) for r in durable(chunks, "chunks").toLocalIterator()]}
     weights, refine, mass = np.zeros((GATES, CONTEXTS + 1)), start_refine(), 0.0
-    for r in bodies.mapInArrow(_weights(spark.sparkContext.broadcast(model)), "v array<double>").toLocalIterator():  # a row for each task
+    # A row for each task; toLocalIterator() alone would run one task after the other.
+    for r in durable(bodies.mapInArrow(_weights(spark.sparkContext.broadcast(model)), "v array<double>"), "weights").toLocalIterator():
         v = np.array(r["v"])
         mass += v[0]
         weights += v[1 : 1 + weights.size].reshape(weights.shape)

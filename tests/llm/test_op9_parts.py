@@ -81,3 +81,61 @@ def test_chances_equal_a_plain_loop():
         flat = np.frombuffer(w, np.uint8)
         key = M.pair_keys(M.speller().hashes(flat, np.zeros(1, np.int64), np.array([0 if w == b"\n" else len(w) - 1])), np.zeros(1, np.int64))
         assert got[int(key.view(np.int64)[0])] == pytest.approx(want, abs=1e-3)
+
+
+def chances(b):
+    """The chance, count and times of each pair, from all bodies."""
+    got = {}
+    for r in M._chances(shared(b))(iter(b)):
+        for pair, *values in zip(*(r[c].to_pylist() for c in ("pair", "chance", "c", "times")), strict=True):
+            assert pair not in got
+            got[pair] = values
+    return got
+
+
+def test_pieces_of_a_large_beginning_equal_the_whole(monkeypatch):
+    """What the pieces count of each other makes up for the cut, so each pair has the chance that it has uncut."""
+    texts = [" ".join(f"tion{x}{y}{'abcdefg'[i % 7] * (i % 5)}" for i, (x, y) in enumerate((x, y) for x in "aeiou" for y in "nrst") for _ in range(1 + i % 3)).encode() + b" tion tiona the"] * 2 + [b"tionan dog"]
+    init = M.Batch.__init__
+
+    def wide(self, body):
+        init(self, body)
+        self.bits, self.late = 20, np.zeros((1 << 20, 2), dtype=np.float32)
+
+    monkeypatch.setattr(M.Batch, "__init__", wide)
+    whole = bodies(texts)
+    monkeypatch.setattr(M, "BATCH", 4)
+    pieces = bodies(texts)
+    assert len(pieces) > len(whole) + 2 and any(M.unpacked(r["body"][0].as_py())[4] for r in pieces)
+    want, got = chances(whole), chances(pieces)
+    assert set(got) == set(want)
+    for pair, values in want.items():
+        assert got[pair][1:] == values[1:] and got[pair][0] == pytest.approx(values[0], abs=1e-4)
+
+
+def test_a_body_holds_no_more_than_its_batch_of_one_beginning():
+    """Very many words of one beginning: the tables of a body stay small."""
+    words = [b"tion" + bytes(97 + i // 26**k % 26 for k in range(4)) for i in range(120_000)]
+    b = bodies([b" ".join(words)])
+    assert sum(len(M.unpacked(r["body"][0].as_py())[1]) for r in b) == len(words) + 1
+    assert max(M.Batch(r["body"][0].as_py()).bits for r in b) <= 21
+
+
+def test_pairs_of_many_stretches_are_merged_as_they_come(monkeypatch):
+    monkeypatch.setattr(M, "HELD", 5)
+    texts = [b"the cat sat", b"a cat and the dog", b"the the cat internationally"] * 4
+    v = type("V", (), {"value": np.zeros(0, np.uint64)})()
+    rows = [pa.RecordBatch.from_arrays([pa.array([i % 2 == 0]), pa.array([t.decode()])], names=["learn", "text"]) for i, t in enumerate(texts)]
+    table = pa.Table.from_batches([r for x in rows for r in M._pairs(v, 3)(iter([x]))]).sort_by("p")
+    got = {}
+    for r in M._pack(iter(table.to_batches())):
+        x = M.Batch(r["body"][0].as_py())
+        for s, n, t in zip(x.start, x.size, x.times, strict=True):
+            w = x.flat[s : s + n].tobytes()
+            assert w not in got
+            got[w] = int(t)
+    want = {w: 0 for t in texts for w in [*t.split(), b""]}
+    for t in texts[::2]:
+        for w in [*t.split(), b""]:
+            want[w] += 1
+    assert got == want
