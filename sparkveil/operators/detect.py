@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.functions import text as X
+from sparkveil.functions.finders import Finder, finder
 from sparkveil.functions.rules import ALIASES, PATTERNS, POLICIES
 
 CONTEXT = 30
@@ -22,17 +22,17 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if scanned < cores else docs
 
 
-def _compiled(rules: list[tuple[str, str, bool]]) -> list[tuple[int, str, re.Pattern]]:
-    return [(k, name, re.compile(p, re.I if i else 0)) for k, (name, p, i) in enumerate(rules)]
+def finders(rules: list[tuple[str, str, bool]]) -> list[tuple[int, str, Finder]]:
+    return [(k, rule[0], finder(rule)) for k, rule in enumerate(rules)]
 
 
 def _find(rules: list[tuple[str, str, bool]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = _compiled(rules)
+        find_all = finders(rules)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [(i, k, name, *m.span(), m.group(), t[max(0, m.start() - CONTEXT) : m.end() + CONTEXT]) for i, t in enumerate(part.column(1).to_pylist()) if t for k, name, p in compiled for m in p.finditer(t)]
+                rows = [(i, k, name, s, e, t[s:e], t[max(0, s - CONTEXT) : e + CONTEXT]) for i, t in enumerate(part.column(1).to_pylist()) if t for k, name, find in find_all for s, e in find(t)]
                 if rows:
                     i, *cols = zip(*rows, strict=True)
                     kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
@@ -111,13 +111,13 @@ def _merge_rows(rules: list[tuple[str, str, bool]], clear: bool):
     """Each text with its merged spans; clear: only those that begin where the last one has ended, and the text between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = _compiled(rules)
+        find_all = finders(rules)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("phi_type", pa.string()), ("text", pa.string()), ("merged", pa.int32()), ("value", pa.string()), ("before", pa.string())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, out, rest = batch.slice(at, 500), [], []
                 for t in part.column(1).to_pylist():
-                    merged = fold([(k, *m.span(), name, m.group()) for k, name, p in compiled for m in p.finditer(t)]) if t else []
+                    merged = fold([(k, s, e, name, t[s:e]) for k, name, find in find_all for s, e in find(t)]) if t else []
                     last, spans, previous = 0, [], 0
                     for s, e, name, found, n in sorted(merged):
                         if clear and s < previous:
