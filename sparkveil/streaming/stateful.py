@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,26 +36,60 @@ def break_calls(calls: list[tuple[float, bool]], failures: int, until: float, mo
     return out, failures, until
 
 
+def _by_key(rows: DataFrame, flags: list[str], decide: Callable[[], Callable[..., bool]], out: str) -> DataFrame:
+    """(event_id, key, out) of rows (event_id, key, ts, flags): each key's rows in order of ts, event_id, given to a fresh decide().
+
+    Keys are dealt out and sorted; a task walks over its rows and holds the state of one key only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = object(), None
+        for b in batches:
+            found = []
+            for k, t, *more in zip(*[b.column(i).to_pylist() for i in range(1, b.num_columns)], strict=True):
+                if k != key:
+                    key, step = k, decide()
+                found.append(step(t / 1e6, *more))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.bool_())], names=["event_id", "key", out])
+
+    given = rows.where(F.col("ts").isNotNull()).select(F.col("event_id").cast("long").alias("event_id"), F.col("key").cast("string").alias("key"), F.unix_micros("ts").alias("t"), *flags)
+    dealt = given.repartition("key").sortWithinPartitions("key", "t", F.col("event_id").asc_nulls_last())
+    return dealt.mapInArrow(run, f"event_id long, key string, {out} boolean")
+
+
 def limit_requests(requests: DataFrame, limit: int, window: float) -> DataFrame:
     """(event_id, key, accepted) of requests (event_id, key, ts); a key's requests in order of ts, event_id."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        ok, _ = admit((pdf.ts.astype("int64") / 1e9).tolist() if str(pdf.ts.dtype).endswith("ns]") else [t.timestamp() for t in pdf.ts], [], limit, window)
-        return pd.DataFrame({"event_id": pdf.event_id, "key": pdf.key, "accepted": ok})
+    def decide() -> Callable[[float], bool]:
+        kept: deque[float] = deque()  # ascending, so the old ones leave at its head
 
-    return requests.where(F.col("ts").isNotNull()).groupBy("key").applyInPandas(run, "event_id long, key string, accepted boolean")
+        def step(t: float) -> bool:
+            while kept and t - kept[0] >= window:
+                kept.popleft()
+            if len(kept) >= limit:
+                return False
+            kept.append(t)
+            return True
+
+        return step
+
+    return _by_key(requests, [], decide, "accepted")
 
 
 def break_circuits(calls: DataFrame, most: int, pause: float) -> DataFrame:
     """(event_id, key, passed) of calls (event_id, key, ts, failed)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        ok, _, _ = break_calls([(t.timestamp(), bool(f)) for t, f in zip(pdf.ts, pdf.failed, strict=True)], 0, float("-inf"), most, pause)
-        return pd.DataFrame({"event_id": pdf.event_id, "key": pdf.key, "passed": ok})
+    def decide() -> Callable[[float, bool], bool]:
+        failures, until = 0, float("-inf")
+
+        def step(t: float, failed: bool | None) -> bool:
+            nonlocal failures, until
+            (ok,), failures, until = break_calls([(t, bool(failed))], failures, until, most, pause)
+            return ok
+
+        return step
 
-    return calls.where(F.col("ts").isNotNull()).groupBy("key").applyInPandas(run, "event_id long, key string, passed boolean")
+    return _by_key(calls, ["failed"], decide, "passed")
 
 
 def limit_stream(requests: DataFrame, limit: int, window: float) -> DataFrame:
