@@ -30,9 +30,14 @@ def changes(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def changed_at(begins: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the number of the run that it is in."""
+    return np.repeat(np.arange(len(begins)), np.diff(np.append(begins, n)))
+
+
 def changed(codes: np.ndarray) -> np.ndarray:
     """The number of the run that each row is in."""
-    return np.searchsorted(changes(codes), np.arange(len(codes)), "right") - 1
+    return changed_at(changes(codes), len(codes))
 
 
 def codes(keys: pa.Array) -> np.ndarray:
@@ -217,3 +222,12 @@ def joined(page: np.ndarray, region_id: np.ndarray, box: tuple[np.ndarray, ...],
     best = order[begins]
     size = np.diff(np.append(begins, len(order)))
     return page[best], region_id[best], *union_boxes(tuple(c[order] for c in box), begins), confidence[best], np.logical_and.reduceat(low[order], begins), size
+
+
+def first_true(flag: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether a row is the first of its group that is flagged; rows of a group lie together."""
+    out = np.zeros(len(flag), bool)
+    at = np.flatnonzero(flag)
+    if len(at):
+        out[at[changes(group[at])]] = True
+    return out
