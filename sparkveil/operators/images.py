@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 def made(seed: Column, h: int, w: int) -> Column:
     """An image by a fixed rule: pixel (y, x) is (seed * 7 + y * 5 + x * 3) mod 256."""
-    digits = F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.lpad(F.hex(F.pmod(seed * 7 + F.floor(i / w) * 5 + (i % w) * 3, F.lit(256))), 2, "0"))
-    return F.unhex(F.array_join(digits, ""))
+    cycle = F.lit(bytes(3 * k % 256 for k in range(256 + w)))  # row y begins in it where its first pixel stands; 171 * 3 mod 256 is 1
+    return F.concat(*[F.substring(cycle, (F.pmod((seed % 256) * 7 + y * 5, F.lit(256)) * 171 % 256 + 1).cast("int"), F.lit(w)) for y in range(h)])
 
 
 def _each(images: DataFrame, f: Callable[[np.ndarray, dict], dict], columns: list[tuple[str, pa.DataType, str]]) -> DataFrame:
@@ -34,8 +34,30 @@ def _each(images: DataFrame, f: Callable[[np.ndarray, dict], dict], columns: lis
 
 def moments(images: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, mean, variance, top, bottom)."""
-    got = _each(images, lambda p, _: {"mean": round(float(p.mean()), 6), "variance": round(float(p.var()), 6), "top": int(p.max()), "bottom": int(p.min())}, [("mean", pa.float64(), "double"), ("variance", pa.float64(), "double"), ("top", pa.int32(), "int"), ("bottom", pa.int32(), "int")])
-    return got.select(key, "mean", "variance", "top", "bottom")
+    names = images.columns
+    kinds = [("mean", pa.float64(), "double"), ("variance", pa.float64(), "double"), ("top", pa.int32(), "int"), ("bottom", pa.int32(), "int")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                pixels, h, w = (part.column(names.index(c)).to_pylist() for c in ("pixels", "h", "w"))
+                out: list[tuple] = [(None,) * 4] * part.num_rows
+                alike: dict[int, list[int]] = {}
+                for i, p in enumerate(pixels):
+                    if p is not None and h[i] and w[i]:
+                        if len(p) != h[i] * w[i]:
+                            raise ValueError(f"{len(p)} pixels for {h[i]} by {w[i]}")
+                        alike.setdefault(len(p), []).append(i)
+                for n, rows in alike.items():  # images of one size at once, by whole numbers
+                    v = np.frombuffer(b"".join([pixels[i] for i in rows]), np.uint8).reshape(len(rows), n)
+                    wide = v.astype(np.uint32)
+                    total, squares = wide.sum(axis=1, dtype=np.int64).tolist(), (wide * wide).sum(axis=1, dtype=np.int64).tolist()
+                    for i, s, q, top, bottom in zip(rows, total, squares, v.max(axis=1).tolist(), v.min(axis=1).tolist(), strict=True):
+                        out[i] = (round(s / n, 6), round((n * q - s * s) / (n * n), 6), top, bottom)
+                yield pa.RecordBatch.from_arrays([part.column(names.index(key)), *[pa.array(c, t) for c, (_, t, _) in zip(zip(*out, strict=True), kinds, strict=True)]], names=[key, *[k[0] for k in kinds]])
+
+    return images.mapInArrow(run, f"{key} {images.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, _, k in kinds))
 
 
 def painted(images: DataFrame) -> DataFrame:
